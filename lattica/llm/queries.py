@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash
+from . import packing, secrets, sharding, simhash, warc
 from ._common import table
 
 
@@ -14,6 +14,37 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary file; workers read it where the package is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    packed = packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(secrets.all_spans(F.col("base"), F.col("added"))).alias("spans"),
+    )
+
+
+def op9_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = warc.archive(table(spark, sf_dir, "pages")).filter("last")
+    revisit = F.col("record_type") == "revisit"
+    return chunks.select(
+        "page_id", F.when(revisit, F.col("payload_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"),
+        F.when(revisit, F.col("payload_digest")).otherwise(F.col("digest_so_far")).alias("payload_digest"), "record_type", "refers_to",
+    )
+
+
 def op10_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), n_shards=8)
     return placed.select(
@@ -23,8 +54,20 @@ def op10_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_chunked_warc": op9_chunked_warc,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op10_best_fit_sharding": op10_best_fit_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_chunked_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+        o as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as owner from p)
+        select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+               case when payload_bytes >= 1000 and page_id <> owner then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 1000 and page_id <> owner then owner end as refers_to
+        from o
+    """,
+}
