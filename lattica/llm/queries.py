@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, sharding, simhash, warc
+from . import decontaminate, packing, secrets, sharding, simhash, warc
 from ._common import table
 
 
@@ -14,6 +14,15 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = decontaminate.hit_words(F.col("spans"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "longest",
+    )
+
+
 def tokenizer_path() -> str:
     """The public vocabulary file; workers read it where the package is installed."""
     import public_tokenizers
@@ -54,6 +63,7 @@ def op10_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_suffix_automaton_decontamination": op3_suffix_automaton_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
     "op9_chunked_warc": op9_chunked_warc,
