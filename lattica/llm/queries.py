@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, secrets, sharding, simhash, warc
+from . import decontaminate, embedding, packing, secrets, sharding, simhash, warc
 from ._common import table
 
 
+def op5_pigeonhole_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -63,6 +68,7 @@ def op10_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_pigeonhole_near_dedup": op5_pigeonhole_near_dedup,
     "op3_suffix_automaton_decontamination": op3_suffix_automaton_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
