@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import Scratch
 
@@ -156,14 +157,14 @@ def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 4096, pieces_
 
     Full pieces are sequences of their own. The others go to independent packers, dealt by hash, as many as the
     table's size asks for; each packs about ``pieces_per_packer`` pieces, longest first within its share. Offsets are gapless from 0 in each sequence. Repeated ids keep all their pieces; null ids are rows like others.
-    An empty table gives no rows. The input is written to the shared folder first, so a lost executor repeats the
+    An empty table gives no rows. Columns of the names used here (row, packer, sequence_id, offset) are replaced. The input is written to the shared folder first, so a lost executor repeats the
     same packing.
     """
     scratch = Scratch(pieces.sparkSession, "pack")
-    kept = scratch.put(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    kept = scratch.put(pieces.drop("sequence_id", "offset", "packer").withColumn("row", F.monotonically_increasing_id()), "pieces")
     part = kept.filter(F.col("length") < capacity)
     packers = max(1, -(-part.count() // pieces_per_packer))
-    schema = kept.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*kept.schema.fields]).add("sequence_id", "long").add("offset", "long")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("length", "descending"), ("row", "ascending")])

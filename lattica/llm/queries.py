@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding, packing, secrets, sharding, simhash, warc
+from . import decontaminate, embedding, importance, licenses, packing, secrets, sharding, simhash, warc
 from ._common import table
 
 
@@ -19,6 +19,19 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, good): labelled documents; good ones have quality and no toxicity."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+
+
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents sampled for quality; the others are rejected."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = importance.Resampler(docs, good_labels(spark, sf_dir)).keep(docs)
+    return kept.select("doc_id", "log_ratio", "gumbel_key", F.lit(True).alias("kept"))
+
+
 def op3_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     n_hit = decontaminate.hit_words(F.col("spans"))
@@ -41,6 +54,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+    return found.select(
+        F.col("id").alias("doc_id"), F.array_join("licenses", ",").alias("licenses"), F.size("passages").cast("bigint").alias("n_passages"),
+        "license", F.round("dice", 6).alias("dice"),
+    )
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -68,6 +89,8 @@ def op10_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_importance_resampling": op1_importance_resampling,
+    "op7_license_scan": op7_license_scan,
     "op5_pigeonhole_near_dedup": op5_pigeonhole_near_dedup,
     "op3_suffix_automaton_decontamination": op3_suffix_automaton_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
