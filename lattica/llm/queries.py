@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding, importance, licenses, packing, secrets, sharding, simhash, warc
+from . import brown, decontaminate, embedding, importance, licenses, packing, secrets, sharding, simhash, warc
 from ._common import table
 
 
@@ -32,6 +32,12 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "log_ratio", "gumbel_key", F.lit(True).alias("kept"))
 
 
+def op2_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = brown.score(table(spark, sf_dir, "documents"), held_out)
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op3_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     n_hit = decontaminate.hit_words(F.col("spans"))
@@ -92,6 +98,7 @@ QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op7_license_scan": op7_license_scan,
     "op5_pigeonhole_near_dedup": op5_pigeonhole_near_dedup,
+    "op2_brown_class_scores": op2_brown_class_scores,
     "op3_suffix_automaton_decontamination": op3_suffix_automaton_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
