@@ -13,7 +13,7 @@ add no noise and length adds no weight.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,54 +26,75 @@ from ._common import Scratch
 CHUNK = 4096  # buckets sent together
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 CACHE_WORDS = 300_000  # only speed depends on it
+PART = 256  # texts at a time
 
 
 class NGrams(dict):
-    """Remembers the hashed n-grams of each space-separated word."""
+    """Numbers the words of texts and keeps the hashed n-grams of each; the n-grams of all words stand in one flat array."""
 
     def __init__(self, bits: int):
         import xxhash
 
         self.hash = lambda s: xxhash.xxh64_intdigest(s) >> (64 - bits)
-        self.repeats = [self.hash(f"={k}") for k in (1, 2, 3, 4)]
+        self.repeats = np.array([self.hash(f"={k}") for k in (1, 2, 3, 4)])
+        self.flat, self.first = array("q"), array("q", [0])
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> int:
         tokens = _TOKEN.findall(word)
-        out = [self.hash(t) for t in tokens]
-        out += [self.hash("^" + t[:n]) for t in tokens if t[0].isalpha() for n in (5, 7) if len(t) > n]
-        self[word] = out
-        return out
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams, counts) of a text in lower case."""
-        words = text.lower().split()
+        self.flat.extend([self.hash(t) for t in tokens])
+        self.flat.extend([self.hash("^" + t[:n]) for t in tokens if t[0].isalpha() for n in (5, 7) if len(t) > n])
+        self.first.append(len(self.flat))
+        self[word] = number = len(self.first) - 2
+        return number
+
+    def texts(self, texts: list[str]):
+        """For each text: its words that do not repeat the one before, as numbers, and its repeats, as n-grams."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        fresh, extra, run = words, [], 0
-        if any(map(str.__eq__, words, words[1:])):
-            fresh, last = [], None
-            for w in words:
-                run = run + 1 if w == last else 0
-                if run:
-                    extra.append(self.repeats[min(run, 4) - 1])
-                else:
-                    fresh.append(w)
-                last = w
-        grams = np.fromiter(chain(chain.from_iterable(map(self.__getitem__, fresh)), extra), np.int64)
-        return np.unique(grams, return_counts=True)
+            self.flat, self.first = array("q"), array("q", [0])
+        out = []
+        for text in texts:
+            words = text.lower().split()
+            ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            again = np.zeros(len(ids), bool)
+            again[1:] = ids[1:] == ids[:-1]
+            if again.any():
+                at = np.arange(len(ids))
+                run = at - np.maximum.accumulate(np.where(again, 0, at))
+                out.append((ids[~again], self.repeats[np.minimum(run[again], 4) - 1]))
+            else:
+                out.append((ids, self.repeats[:0]))
+        return out
+
+    def views(self) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams, first n-gram of each word and the end); to be dropped before further texts."""
+        return np.frombuffer(self.flat, np.int64), np.frombuffer(self.first, np.int64)
+
+    def expand(self, ids: np.ndarray) -> np.ndarray:
+        """The n-grams of a sequence of words."""
+        flat, first = self.views()
+        n = first[ids + 1] - first[ids]
+        at = np.arange(n.sum()) + np.repeat(first[ids] - (np.cumsum(n) - n), n)
+        return flat[at]
 
 
 def _counts(bits: int):
     def run(batches):
         grams = NGrams(bits)
         raw, target = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        place = np.zeros(1 << bits, np.int64)
         for batch in batches:
             good = batch.column("good").to_pylist()
-            for text, g in zip(batch.column("text"), good):
-                which, _ = grams.of(text.as_py() or "")
-                raw[which] += 1
-                if g:
-                    target[which] += 1
+            for at in range(0, batch.num_rows, PART):
+                part = [t or "" for t in batch.column("text").slice(at, PART).to_pylist()]
+                for i, (ids, repeats) in enumerate(grams.texts(part), at):
+                    which = np.concatenate([grams.expand(ids), repeats])
+                    order = np.arange(len(which))
+                    place[which] = order  # of equal n-grams one remains
+                    which = which[place[which] == order]
+                    raw[which] += 1
+                    if good[i]:
+                        target[which] += 1
         for k in range(0, 1 << bits, CHUNK):
             r, t = raw[k : k + CHUNK], target[k : k + CHUNK]
             if r.any():
@@ -116,12 +137,19 @@ def scored(docs: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataF
     place = docs.columns.index(text_col)
 
     def run(batches):
-        grams, ratios = NGrams(bits), shared.value
+        grams, ratios = NGrams(bits), shared.value.astype(np.float64)
+        by_word = np.zeros(0)
         for batch in batches:
             out = []
-            for text in batch.column(place):
-                which, n = grams.of(text.as_py() or "")
-                out.append(float((ratios[which] * n).sum()))
+            for at in range(0, batch.num_rows, PART):
+                found = grams.texts([t or "" for t in batch.column(place).slice(at, PART).to_pylist()])
+                flat, first = grams.views()
+                done = len(by_word) if len(by_word) < len(first) else 0  # fewer words: the memory was cleared
+                if done < len(first) - 1:
+                    new = np.add.reduceat(ratios[flat[first[done] :]], first[done:-1] - first[done])
+                    by_word = np.concatenate([by_word[:done], new])
+                del flat, first
+                out += [float(by_word[ids].sum() + ratios[repeats].sum()) for ids, repeats in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "log_ratio"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("log_ratio", "double"))
@@ -171,7 +199,8 @@ class Resampler:
         curve = judged.filter("good is not null").groupBy(step.alias("score"), "good").count().collect()
         self.cut = best_cut([(r["score"], r["good"], r["count"]) for r in curve])
         self.k = judged.filter(F.col("log_ratio") >= self.cut).count()
-        self.least_key = kth_largest(judged.select(self._key("id").alias("key")), self.k)
+        self.judged = judged.drop("good").withColumn("gumbel_key", self._key("id"))
+        self.least_key = kth_largest(self.judged.select(F.col("gumbel_key").alias("key")), self.k)
 
     def _key(self, id_name: str):
         uniform = (F.pmod(F.xxhash64(F.col(id_name), F.lit(self.seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -179,8 +208,14 @@ class Resampler:
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """Rows among the k largest keys, with columns log_ratio and gumbel_key; equal keys at the end all stay."""
-        out = scored(docs, self.ratios, self.text_col).withColumn("gumbel_key", self._key(self.id_col))
-        return out if self.least_key is None else out.filter(F.col("gumbel_key") >= F.lit(self.least_key))
+        return self._best(scored(docs, self.ratios, self.text_col).withColumn("gumbel_key", self._key(self.id_col)))
+
+    def kept(self) -> DataFrame:
+        """(id, log_ratio, gumbel_key) of the fitted documents that are kept, without reading their texts again."""
+        return self._best(self.judged)
+
+    def _best(self, rows: DataFrame) -> DataFrame:
+        return rows if self.least_key is None else rows.filter(F.col("gumbel_key") >= F.lit(self.least_key))
 
 
 def best_cut(curve: list[tuple[float, bool, int]]) -> float:

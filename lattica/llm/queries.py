@@ -28,8 +28,8 @@ def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents sampled for quality; the others are rejected."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = importance.Resampler(docs, good_labels(spark, sf_dir)).keep(docs)
-    return kept.select("doc_id", "log_ratio", "gumbel_key", F.lit(True).alias("kept"))
+    kept = importance.Resampler(docs, good_labels(spark, sf_dir)).kept()
+    return kept.select(F.col("id").alias("doc_id"), "log_ratio", "gumbel_key", F.lit(True).alias("kept"))
 
 
 def op2_brown_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
