@@ -164,3 +164,19 @@ def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
     done = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mask: str = "[secret]") -> DataFrame:
+    """The documents with every base and entropy span masked, in the columns they came with; ``length_col``, if there, follows.
+
+    Null texts stay null and texts without spans stay as they are.
+    """
+    names, text = docs.columns, F.coalesce(F.col(text_col), F.lit(""))
+    base = F.concat(*[_matches(text, *p) for p in BASE_PATTERNS])
+    marked = docs.withColumn("__base__", base).withColumn("__high__", entropy_spans(text)).withColumn("__spans__", all_spans(F.col("__base__"), F.col("__high__")))
+    changed = F.size("__spans__") > 0
+    out = {text_col: F.when(changed, redact(text, F.col("__spans__"), mask)).otherwise(F.col(text_col))}
+    marked = marked.withColumns(out)
+    if length_col in names:
+        marked = marked.withColumn(length_col, F.when(changed, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return marked.select(*names)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import Scratch, forest, stream_tiles, text_bytes
 from .components import connected_components
@@ -144,6 +145,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, tile_rows: int = 409
     return visits.repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(_compare(radius), "a bigint, b bigint")
 
 
+def _classes(fps: DataFrame, scratch: Scratch, radius: int, tile_rows: int) -> DataFrame:
+    """(fp, least, root): each distinct fingerprint, its smallest id and the smallest fingerprint it is linked to."""
+    distinct = scratch.put(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    linked = connected_components(fingerprint_links(distinct, radius, tile_rows), scratch)
+    return distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, tile_rows: int = 4096) -> DataFrame:
     """(id, fp long, component): component is the smallest id among the documents reachable by links.
 
@@ -153,15 +161,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.put(fingerprints(docs, id_col, text_col, shingle), "fps")
-    distinct = scratch.put(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    linked = connected_components(fingerprint_links(distinct, radius, tile_rows), scratch)
-    member = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    member = _classes(fps, scratch, radius, tile_rows)
     smallest = member.groupBy("root").agg(F.min("least").alias("component"))
     named = scratch.put(member.join(smallest, "root").select(F.col("fp").alias("value"), "component"), "named")
-    hot = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    left = fps.withColumn("salt", hot)
+    left = fps.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     return left.join(salted, (left.fp == salted.value) & (left.salt == salted.salt)).select("id", "fp", "component")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, tile_rows: int = 4096) -> DataFrame:
+    """The documents of which no linked one has a smaller id, in the columns they came with: one row per component.
+
+    A component's row is that of its smallest id (null only if all are null), of the smallest fingerprint among those, and
+    one of any rows that share both.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.put(fingerprints(docs, id_col, text_col, shingle), "fps")
+    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "fp")).alias("first")
+    kept = _classes(fps, scratch, radius, tile_rows).groupBy("root").agg(first).select(F.col("first.least").alias("kept_id"), F.col("first.fp").alias("kept_fp"))
+    place, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(place).cast(pa.binary()).to_pylist()
+            fp = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, FP])
+
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields]).add(FP, "long"))
+    kept = scratch.put(kept, "kept")
+    match = marked[id_col].eqNullSafe(kept.kept_id) & (marked[FP] == kept.kept_fp)
+    return marked.join(kept, match, "left_semi").dropDuplicates([id_col, FP]).select(*names)
+
+
+FP = "__simhash__"
 SALTS = 8  # one fingerprint may hold a third of all rows
