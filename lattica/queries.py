@@ -1,4 +1,704 @@
-"""Registered queries over the test tables and the SQL each is checked against."""
+"""Registered queries over the test tables, each with the SQL it is checked against.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables stand in for a citation graph: an order is a referenced work with a year, a part a citing work, a line item a
+link, a supplier an institution in its nation, a customer an author, an order's priority its source, a brand a subfield, a type a topic.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .operators import filters, labels, links, prune, ranking, rollup, search, similar, slugs, stats
+from .plans import trees
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+YEARS = (1995, 1997, 1998, 1999, 2000, 2001)
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        name = f.__name__.strip("_")
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def i64(*names):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# --- rollups -----------------------------------------------------------------------------------------------------
+
+_GEO = ["k1", "k2", "k3"]
+
+
+def geo_tuples(t: Tables) -> DataFrame:
+    """(region, nation of the supplier, brand of the part, order, part, year)."""
+    supplier = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey", "n_nationkey")
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey")
+    return (
+        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(t.orders.select("o_orderkey", F.year("o_orderdate").alias("year")), F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(F.col("n_regionkey").cast("long").alias("k1"), F.col("n_nationkey").cast("long").alias("k2"), F.col("p_brand").alias("k3"), F.col("l_orderkey").alias("ref"), F.col("l_partkey").alias("cit"), "year")
+    )
+
+
+_GEO_BASE = """
+  base as (select distinct cast(sn.n_regionkey as bigint) as k1, cast(sn.n_nationkey as bigint) as k2, p.p_brand as k3,
+                  l.l_orderkey as ref, l.l_partkey as cit, year(o.o_orderdate) as year
+           from lineitem l join orders o on o.o_orderkey = l.l_orderkey join supplier s on s.s_suppkey = l.l_suppkey
+           join nation sn on sn.n_nationkey = s.s_nationkey join part p on p.p_partkey = l.l_partkey)"""
+
+
+def rollup_sql(keys: list[str], base: str, where: str = "true", select: str | None = None, extra: str = "") -> str:
+    """SQL for a rollup: ``base`` defines the relation base(keys, ref, cit, ...)."""
+    sets = ", ".join("(" + ", ".join([*keys[:d], *([extra] if extra else []), "ref"]) + ")" for d in range(len(keys) + 1))
+    by = ", ".join([*keys, *([extra] if extra else [])])
+    depth = " + ".join(f"(1 - grouping({k}))" for k in keys)
+    return f"""with {base},
+  links as (select distinct {by}, ref, cit from base where {where}),
+  g as (select {depth} as depth, {by}, ref, count(distinct cit) as n from links group by grouping sets ({sets})),
+  r as (select *, row_number() over (partition by depth, {by} order by n desc, ref) as rn from g),
+  tree as (select cast(depth as int) as depth, {by}, cast(sum(n) as bigint) as link_count, count(*) as source_count,
+                  max(case when rn = 1 then ref end) as top_source, max(n) as top_source_links from r group by depth, {by})
+  {select or "select * from tree"}"""
+
+
+@query(rollup_sql(_GEO, _GEO_BASE))
+def tree_supplier_geo(t):
+    return rollup.rollup(geo_tuples(t), _GEO)
+
+
+@query(rollup_sql(_GEO, _GEO_BASE, "year >= 1998"))
+def tree_year_filter(t):
+    return rollup.rollup(rollup.since_year(geo_tuples(t), 1998), _GEO)
+
+
+_PERIODS_SQL = " union all ".join(f"select {i} as period, base.* from base where year >= {y}" for i, y in enumerate(YEARS))
+
+
+@query(rollup_sql(_GEO, f"{_GEO_BASE.replace(' base as', ' base0 as')}, base as ({_PERIODS_SQL.replace('base.*', 'base0.*').replace('from base ', 'from base0 ')})", extra="period"))
+def tree_all_periods(t):
+    return rollup.rollup_periods(geo_tuples(t).withColumn("period", C.period(F.col("year"), YEARS)), _GEO, len(YEARS))
+
+
+def brand_baseline(t: Tables) -> DataFrame:
+    """Baselines of brands by their share of all links."""
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("key")).agg(F.count("*").alias("citations"))
+    total, n = rows.agg(F.sum("citations"), F.count("*")).first()
+    return prune.baseline_share(rows, total, n)
+
+
+_BRAND_BASE = "base_b as (select p_brand as key, (c * 0.55e0 + sum(c) over () / count(*) over () * 0.45e0) / sum(c) over () as baseline from (select p_brand, count(*) as c from lineitem join part on l_partkey = p_partkey group by p_brand))"
+
+
+def prune_sql(tree_base: str, keys: list[str], denominators: list[int], baselines: dict[int, str], where: str = "true", last: str = "") -> str:
+    out, parts = "", ["l0 as (select * from tree where depth = 0)"]
+    for d, key in enumerate(keys):
+        above = keys[:d]
+        same = lambda a, b, ks: " and ".join(f"{a}.{k} is not distinct from {b}.{k}" for k in ks) or "true"
+        base = f"left join {baselines[d]} bl on bl.key = c.{key}" if d in baselines else ""
+        ratio = "coalesce(bl.baseline, 1e0)" if d in baselines else "1e0"
+        path = ", ".join(f"c.{k}" for k in above) or "c.depth"
+        parts.append(
+            f"""s{d + 1} as (select c.*, c.link_count / cast(a.link_count as double) / {ratio} as spec, count(*) over (partition by {path}) as nc
+      from tree c join tree a on a.depth = {denominators[d]} and {same("a", "c", keys[: denominators[d]])} {base}
+      where c.depth = {d + 1} and exists (select 1 from l{d} p where {same("p", "c", above)})),
+    k{d + 1}r as (select *, row_number() over (partition by {", ".join(above) or "depth"} order by link_count desc, {key} desc) as rw,
+      row_number() over (partition by {", ".join(above) or "depth"} order by spec desc, {key} desc) as rs from s{d + 1} where nc <= 16 or {key} is not null),
+    l{d + 1} as (select depth, {", ".join(keys)}, link_count, source_count, top_source, top_source_links from k{d + 1}r where nc <= 16 or rw <= 16 or rs <= 16)"""
+        )
+        out += f" union all select * from l{d + 1}"
+    return rollup_sql(keys, tree_base, where, f", {', '.join(parts)} select * from (select * from l0{out}) {last}")
+
+
+_PRUNED = prune_sql(f"{_BRAND_BASE}, {_GEO_BASE}", _GEO, [0, 0, 2], {2: "base_b"})
+
+
+@query(_PRUNED)
+def tree_pruned(t):
+    return prune.prune(tree_supplier_geo(t), _GEO, [0, 0, 2], {2: brand_baseline(t)})
+
+
+@query(prune_sql(f"{_BRAND_BASE}, {_GEO_BASE}", _GEO, [0, 0, 2], {2: "base_b"}, last="where depth <= 2"))
+def tree_shallow(t):
+    return prune.cut(tree_pruned(t), 1)
+
+
+@query(rollup_sql(_GEO, _GEO_BASE))
+def tree_period_fold(t):
+    """Two rollups over disjoint years, united."""
+    rows = geo_tuples(t)
+    return rollup.union_trees(rollup.rollup(rows.filter("year < 1998"), _GEO), rollup.rollup(rows.filter("year >= 1998"), _GEO), _GEO)
+
+
+@query("select p_brand as k1, count(distinct l_orderkey) as refs, cast(count(distinct (l_orderkey, l_partkey)) as bigint) as links from lineitem join part on l_partkey = p_partkey group by p_brand")
+def tree_single_level(t):
+    nodes = rollup.rollup(geo_tuples(t).select(F.col("k3").alias("k1"), "ref", "cit"), ["k1"]).filter("depth = 1")
+    return nodes.select("k1", F.col("source_count").alias("refs"), F.col("link_count").alias("links"))
+
+
+# --- the catalogue of trees ----------------------------------------------------------------------------------------
+
+
+def order_graph(t: Tables) -> trees.Graph:
+    orders = t.orders.select(F.col("o_orderkey").alias("work"), "o_custkey", F.substring("o_orderpriority", 1, 1).cast("long").alias("source"), F.col("o_orderstatus").alias("topic"), F.year("o_orderdate").alias("year"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey")
+    nation_of = t.supplier.select(F.col("s_suppkey").alias("inst"), F.col("s_nationkey").cast("long").alias("country"))
+    r_inst = lines.select(F.col("l_orderkey").alias("work"), F.col("l_suppkey").alias("inst")).distinct()
+    c_inst = lines.select(F.col("l_partkey").alias("work"), F.col("l_suppkey").alias("inst")).distinct()
+    r_ci, c_ci = (x.join(nation_of, "inst").select("work", "country", "inst") for x in (r_inst, c_inst))
+    segment = orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("work", F.col("c_mktsegment").alias("subfield"), "topic")
+    part = t.part.select(F.col("p_partkey").alias("work"), F.col("p_brand").alias("subfield"), F.col("p_type").alias("topic"), (F.col("p_size") % 10).cast("long").alias("source"))
+    author = orders.select("work", F.col("o_custkey").alias("author"))
+    tables = {
+        ("r", "source"): orders.select("work", "source"), ("r", "quartile_source"): orders.select("work", (F.col("year") % 4).cast("long").alias("quartile"), "source"),
+        ("r", "subfield"): segment.select("work", "subfield"), ("r", "subfield_topic"): segment, ("r", "inst"): r_inst, ("r", "country_inst"): r_ci,
+        ("r", "author"): author, ("r", "author_inst"): author.join(r_inst, "work"), ("r", "inst_country"): nation_of,
+        ("c", "subfield"): part.select("work", "subfield"), ("c", "topic"): part.select("work", "topic"), ("c", "subfield_topic"): part.select("work", "subfield", "topic"),
+        ("c", "source"): part.select("work", "source"), ("c", "country_inst"): c_ci, ("c", "country"): c_ci.select("work", "country").distinct(),
+    }
+    root = lambda frame, col: frame.select(F.col(col).alias("entity"), "work").distinct()
+    roots = {"authors": root(author, "author"), "institutions": root(r_inst, "inst"), "countries": root(r_ci, "country"), "sources": root(orders, "source"), "subfields": root(segment, "subfield")}
+    citing = lines.select(F.col("l_orderkey").alias("ref"), F.col("l_partkey").alias("cit")).distinct()
+    return trees.Graph(citing, orders.select(F.col("work").alias("ref"), "year"), tables, roots, YEARS)
+
+
+_GRAPH_SQL = """
+  links as (select distinct l_orderkey as ref, l_partkey as cit from lineitem),
+  nation_of as (select s_suppkey as inst, cast(s_nationkey as bigint) as country from supplier),
+  r_source as (select o_orderkey as work, cast(left(o_orderpriority, 1) as bigint) as source, cast(year(o_orderdate) % 4 as bigint) as quartile, year(o_orderdate) as year from orders),
+  r_segment as (select o_orderkey as work, c_mktsegment as subfield, o_orderstatus as topic from orders join customer on c_custkey = o_custkey),
+  r_ci as (select distinct l_orderkey as work, country, inst from lineitem join nation_of on inst = l_suppkey),
+  r_author as (select o_orderkey as work, o_custkey as author from orders),
+  c_part as (select p_partkey as work, p_brand as subfield, p_type as topic, cast(p_size % 10 as bigint) as source from part),
+  c_ci as (select distinct l_partkey as work, country, inst from lineitem join nation_of on inst = l_suppkey),
+  c_country as (select distinct work, country from c_ci)"""
+
+_ROOT = {
+    "authors": (11, "r_author where author = 11"), "institutions": (7, "r_ci where inst = 7"), "countries": (3, "r_ci where country = 3"),
+    "sources": (2, "r_source where source = 2"), "subfields": ("BUILDING", "r_segment where subfield = 'BUILDING'"),
+}
+
+#: root, number: levels, joins (r tables meet the order, c tables the part), further condition
+_TREE_SQL = {
+    ("authors", 0): ("rs.source, ref, cc.country, cc.inst", "r_source rs, c_ci cc", ""),
+    ("authors", 1): ("co.country, p.subfield, p.topic", "c_country co, c_part p", ""),
+    ("authors", 2): ("rg.subfield, cc.country, cc.inst, p.subfield", "r_segment rg, c_ci cc, c_part p", ""),
+    ("authors", 3): ("rg.subfield, ref, cc.country, cc.inst", "r_segment rg, c_ci cc", ""),
+    ("authors", 4): ("rg.subfield, p.subfield, p.topic", "r_segment rg, c_part p", ""),
+    ("authors", 5): ("cc.country, cc.inst, p.subfield, p.topic", "c_ci cc, c_part p", ""),
+    ("authors", 6): ("rs.source, rg.subfield, co.country", "r_source rs, r_segment rg, c_country co", ""),
+    ("authors", 7): ("ra.author, ref, p.subfield", "r_author ra, c_part p", "ra.author <> 11"),
+    ("authors", 8): ("ra.author, cc.country, cc.inst", "r_author ra, c_ci cc", "ra.author <> 11"),
+    ("institutions", 0): ("rg.subfield, p.subfield, p.topic", "r_segment rg, c_part p", ""),
+    ("institutions", 1): ("p.subfield, p.source, p.topic", "c_part p", ""),
+    ("institutions", 2): ("ra.author, rc.country, rc.inst", "r_author ra, r_ci rc", ""),
+    ("institutions", 3): ("p.source, cc.country, p.subfield", "c_part p, c_ci cc", ""),
+    ("institutions", 4): ("rs.quartile, rs.source, p.subfield, co.country", "r_source rs, c_part p, c_country co", ""),
+    ("institutions", 5): ("cc.country, cc.inst, p.subfield, p.topic", "c_ci cc, c_part p", ""),
+    ("institutions", 6): ("rc.country, rg.subfield, rc.inst", "r_ci rc, r_segment rg", "rc.inst <> 7"),
+    ("institutions", 7): ("rg.subfield, cc.country, cc.inst, p.subfield", "r_segment rg, c_ci cc, c_part p", ""),
+    ("institutions", 8): ("rg.subfield, cc.country, cc.inst, p.source", "r_segment rg, c_ci cc, c_part p", ""),
+    ("countries", 0): ("m.inst, rg.subfield, cc.country, cc.inst", "r_segment rg, c_ci cc", ""),
+    ("countries", 1): ("rc.country, rc.inst, rg.subfield", "r_ci rc, r_segment rg", "rc.country <> 3"),
+    ("countries", 2): ("m.inst, rs.source, rg.subfield, co.country", "r_source rs, r_segment rg, c_country co", ""),
+    ("sources", 0): ("rg.subfield, cc.country, cc.inst, p.source", "r_segment rg, c_ci cc, c_part p", ""),
+    ("sources", 1): ("rc.country, rc.inst, rg.subfield", "r_ci rc, r_segment rg", ""),
+    ("sources", 2): ("p.source, cc.country, p.subfield", "c_part p, c_ci cc", ""),
+    ("subfields", 0): ("rg.topic, rc.country, rc.inst", "r_segment rg, r_ci rc", ""),
+    ("subfields", 1): ("rs.source, rc.country, rc.inst", "r_source rs, r_ci rc", ""),
+}
+
+
+def tree_sql(root: str, tid: int, year: int = 1998) -> str:
+    levels, joins, condition = _TREE_SQL[root, tid]
+    keys = [f"k{i + 1}" for i in range(levels.count(",") + 1)]
+    select = ", ".join(f"{e.strip()} as {k}" for e, k in zip(levels.split(","), keys))
+    joined = " ".join(f"join {j.strip()} on {j.split()[1]}.work = {'ref' if j.strip().startswith('r_') else 'cit'}" for j in joins.split(","))
+    works = f"(select distinct work{', inst' if 'm.inst' in levels else ''} from {_ROOT[root][1]})"
+    base = f"{_GRAPH_SQL}, base as (select distinct {select}, ref, cit from {works} m join links on links.ref = m.work join r_source yr on yr.work = ref {joined} where yr.year >= {year} {'and ' + condition if condition else ''})"
+    return rollup_sql(keys, base).replace("  links as (select distinct k1", "  dlinks as (select distinct k1").replace("from links group by", "from dlinks group by")
+
+
+def _register_trees():
+    for (root, tid) in _TREE_SQL:
+        name = f"tree_{root}_{tid}"
+        QUERIES[name] = lambda spark, sf_dir, root=root, tid=tid: trees.tree(order_graph(Tables(spark, sf_dir)), root, _ROOT[root][0], tid, 1998)
+        ORACLE_SQL[name] = tree_sql(root, tid)
+
+
+_register_trees()
+
+
+@query(rollup_sql(["k1"], _GEO_BASE.replace("p.p_brand as k3,", "p.p_brand as k3, sn.n_nationkey as nk,"), "true").replace("from base where true", "from base where nk <> 3 and ref in (select ref from base where nk = 3)"))
+def tree_other_nations(t):
+    """Regions of the other suppliers of orders that a nation's suppliers serve."""
+    rows = geo_tuples(t)
+    served = rows.filter("k2 = 3").select("ref").distinct()
+    return rollup.rollup(rows.filter("k2 <> 3").join(served, "ref", "left_semi").select("k1", "ref", "cit"), ["k1"])
+
+
+# --- links -----------------------------------------------------------------------------------------------------------
+
+
+@query("select l_partkey as src, l_orderkey as dst from lineitem")
+def link_invert(t):
+    return links.invert(t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
+@query("select distinct l_orderkey as src, cast(s_nationkey as bigint) as dst from lineitem join supplier on s_suppkey = l_suppkey")
+def link_collapse(t):
+    first = t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return links.collapse(first, t.supplier.select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").cast("long").alias("dst")))
+
+
+@query("select distinct o_custkey as src, l_suppkey as dst from orders join lineitem on l_orderkey = o_orderkey")
+def link_collapse_many(t):
+    first = t.orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    return links.collapse(first, t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
+@query("select cast(s_nationkey as bigint) as src, s_suppkey as dst from supplier")
+def link_group_invert(t):
+    lists = links.group_invert(t.supplier.select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").cast("long").alias("dst")))
+    return lists.select("src", F.explode("dsts").alias("dst"))
+
+
+@query("with i as (select p_name as key, row_number() over (order by p_name) as id from (select distinct p_name from part)) select l_orderkey as src, i.id as dst from lineitem join part on p_partkey = l_partkey join i on i.key = p_name")
+def link_map(t):
+    ids = links.dense_ids(t.part, "p_name").withColumnRenamed("p_name", "key")
+    own = t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").alias("id"))
+    edges = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("src"), F.col("p_name").alias("dst"))
+    return links.map_link(edges, own, ids, many=True)
+
+
+@query("select p_name, row_number() over (order by p_name) as id from (select distinct p_name from part)")
+def dense_ids(t):
+    return links.dense_ids(t.part, "p_name")
+
+
+@query("select p_name as key, min(p_partkey) as p_partkey from part group by p_name")
+def kv_first_wins(t):
+    return links.first_wins(t.part.select(F.col("p_name").alias("key"), "p_partkey"), "key", "p_partkey").select("key", "p_partkey")
+
+
+@query("""with w as (select l_orderkey as work, l_suppkey as source, min(l_linenumber) as position from lineitem group by all),
+  q as (select l_suppkey as source, year(o_orderdate) as year, min(cast(l_quantity as bigint) % 5) as q from lineitem join orders on o_orderkey = l_orderkey group by all),
+  k as (select w.work, w.source, row_number() over (partition by w.work order by case when coalesce(q.q, 0) = 0 then 5 else q.q end, position, w.source) as rn
+        from w join orders on o_orderkey = w.work left join q on q.source = w.source and q.year = year(o_orderdate))
+  select work, source from k where rn = 1""")
+def best_link(t):
+    lines = t.lineitem.select(F.col("l_orderkey").alias("work"), F.col("l_suppkey").alias("source"), F.col("l_linenumber").alias("position"), (F.col("l_quantity").cast("long") % 5).alias("q"))
+    years = t.orders.select(F.col("o_orderkey").alias("work"), F.year("o_orderdate").alias("year"))
+    quartiles = lines.join(years, "work").groupBy("source", "year").agg(F.min("q").alias("q"))
+    return links.best_source(lines.groupBy("work", "source").agg(F.min("position").alias("position")), years, quartiles)
+
+
+# --- filters -----------------------------------------------------------------------------------------------------------
+
+_KEEP = "o_orderstatus <> 'F' and o_orderpriority in ('1-URGENT', '2-HIGH') and year(o_orderdate) > 1995 and year(o_orderdate) <= 2000"
+
+
+@query(f"select o_orderkey as id from orders where {_KEEP}")
+def filter_predicate(t):
+    works = t.orders.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("publication_year"), F.col("o_orderpriority").alias("type"), (F.col("o_orderstatus") == "F").alias("is_retracted"))
+    from .config import Config
+
+    return filters.keep_works(works, Config(start_year=1995, final_year=2000, work_kinds=("1-URGENT", "2-HIGH"))).select("id")
+
+
+def order_suppliers(t):
+    return t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"))
+
+
+@query("select l_suppkey as src from lineitem group by l_suppkey having count(distinct l_orderkey) >= 590")
+def filter_min_degree(t):
+    return filters.degree_filter(links.invert(order_suppliers(t)), least=590)
+
+
+@query("select l_orderkey as src from lineitem group by l_orderkey having count(distinct l_suppkey) <= 3")
+def filter_max_degree(t):
+    return filters.degree_filter(order_suppliers(t), most=3)
+
+
+@query(f"""with w as (select o_orderkey from orders where {_KEEP}),
+  s as (select l_suppkey from lineitem where l_orderkey in (select o_orderkey from w) group by l_suppkey having count(distinct l_orderkey) >= 5)
+  select l_orderkey as src from lineitem where l_suppkey in (select l_suppkey from s) and l_orderkey in (select o_orderkey from w) group by l_orderkey having count(distinct l_suppkey) <= 4""")
+def filter_chain(t):
+    works, edges = filter_predicate(t), order_suppliers(t)
+    big = filters.degree_filter(links.invert(edges), least=5, targets=works)
+    return filters.degree_filter(edges, most=4, sources=works, targets=big)
+
+
+@query("select distinct l_orderkey as dst from lineitem where l_suppkey in (select l_suppkey from lineitem group by l_suppkey having count(distinct l_orderkey) >= 590)")
+def filter_targets(t):
+    return filters.linked_targets(links.invert(order_suppliers(t)), filter_min_degree(t))
+
+
+@query("select s_suppkey as id from supplier where s_suppkey not in (3, 5, 7)")
+def filter_drop_list(t):
+    return filters.drop_listed(t.supplier.select(F.col("s_suppkey").alias("id")), (3, 5, 7))
+
+
+@query("""with a as (select o_custkey as id, count(*) as w, cast(sum(o_totalprice) as bigint) as c from orders group by o_custkey)
+  select id from a where id in (1, 2, 3) or (w >= 10 and c >= 1000000 and id in (select c_custkey from customer where c_mktsegment = 'BUILDING'))""")
+def filter_keep_or(t):
+    from .config import Config
+
+    authors = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("works_count"), F.sum("o_totalprice").cast("long").alias("cited_by_count"))
+    candidates = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
+    return filters.keep_authors(authors, candidates, Config(min_author_works=10, min_author_citations=1_000_000, fixed_authors=(1, 2, 3)))
+
+
+@query("select c_custkey as id from customer where c_custkey not in (select o_custkey from orders)")
+def filter_complement(t):
+    return filters.without(t.customer.select(F.col("c_custkey").alias("id")), t.orders.select("o_custkey"), "id")
+
+
+@query("select user_id, ts from events where year(ts) between (select max(year(ts)) from events) - 1 and (select max(year(ts)) from events) ")
+def filter_era(t):
+    last = t.events.agg(F.max(F.year("ts"))).first()[0]
+    return filters.era(t.events.withColumn("year", F.year("ts")), last, 2).select("user_id", "ts")
+
+
+# --- statistics ----------------------------------------------------------------------------------------------------------
+
+
+def customer_orders(t):
+    return t.orders.select(F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("work"))
+
+
+def order_parts(t):
+    return t.lineitem.select(F.col("l_orderkey").alias("work"), F.col("l_partkey").alias("citing"))
+
+
+_CUST_C = "cc as (select o_custkey as e, o_orderkey, count(l_partkey) as c from orders left join lineitem on l_orderkey = o_orderkey group by all)"
+
+
+@query("select o_custkey as entity, count(*) as citations from orders join lineitem on l_orderkey = o_orderkey group by o_custkey")
+def cite_count(t):
+    return stats.cite_counts(customer_orders(t), stats.citing_counts(order_parts(t)))
+
+
+@query("select o_custkey as entity, count(*) as papers from orders group by o_custkey")
+def work_count(t):
+    return stats.work_counts(customer_orders(t))
+
+
+@query("select l_partkey as work, count(*) as citations from lineitem group by l_partkey having count(*) >= 40")
+def hit_items(t):
+    return filters.hits(stats.citing_counts(t.lineitem.select(F.col("l_partkey").alias("work"))), 40)
+
+
+@query("select o_custkey as entity, o_orderpriority as class, count(*) as n from orders group by all")
+def histogram_ref(t):
+    return stats.histogram(customer_orders(t), t.orders.select(F.col("o_orderkey").alias("work"), F.col("o_orderpriority").alias("class")))
+
+
+@query("select o_custkey as entity, p_brand as class, count(*) as n from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey group by all")
+def histogram_cit(t):
+    return stats.citing_histogram(customer_orders(t), order_parts(t), t.part.select(F.col("p_partkey").alias("work"), F.col("p_brand").alias("class")))
+
+
+@query("""select o_custkey as entity, y as year, cast(count(case when year(o_orderdate) = y then 1 end) as bigint) as n
+  from orders, (select unnest(range(1997, 2002)) as y) group by all""")
+def yearly_counts(t):
+    series = stats.yearly(t.orders.select(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("year")), 2001, 5)
+    return series.select("entity", F.posexplode("series").alias("i", "n")).select("entity", (F.col("i") + 1997).cast("long").alias("year"), "n")
+
+
+_H = """select e as entity, cast(coalesce(min(case when i > c then i end), max(n)) as bigint) as h,
+  cast(max(case when i = n - 1 - cast(floor(n / 2) as bigint) then c end) as bigint) as upper_median
+  from (select e, c, row_number() over (partition by e order by c desc) - 1 as i, count(*) over (partition by e) as n from cc) group by e"""
+
+
+def customer_counts(t):
+    counts = stats.citing_counts(order_parts(t))
+    return customer_orders(t).join(counts, "work", "left").select("entity", F.coalesce("citations", F.lit(0)).alias("c"))
+
+
+@query(f"with {_CUST_C}, h as ({_H}) select entity, h from h")
+def h_index(t):
+    return stats.h_and_median(customer_counts(t), ["entity"]).select("entity", "h")
+
+
+@query(f"with {_CUST_C}, h as ({_H}) select entity, upper_median from h")
+def upper_median(t):
+    return stats.h_and_median(customer_counts(t), ["entity"]).select("entity", "upper_median")
+
+
+@query(f"""with {_CUST_C}, h as (select e as entity, count(*) filter (where c >= r) as h from (select e, c, row_number() over (partition by e order by c desc) as r from cc) group by e) select * from h""")
+def h_index_standard(t):
+    return stats.h_and_median(customer_counts(t), ["entity"], standard=True).select("entity", "h")
+
+
+def _sources(t):
+    lines = t.lineitem.select(F.col("l_orderkey").alias("work"), F.col("l_suppkey").alias("source"), (F.col("l_quantity").cast("long") % 5).alias("q"))
+    years = t.orders.select(F.col("o_orderkey").alias("work"), F.year("o_orderdate").alias("year"))
+    return lines.select("work", "source").distinct(), stats.citing_counts(order_parts(t)), years, lines.join(years, "work").groupBy("source", "year").agg(F.max("q").alias("q"))
+
+
+_SRC = """w as (select distinct l_orderkey as work, l_suppkey as source from lineitem),
+  n as (select l_orderkey as work, count(*) as c from lineitem group by all),
+  q as (select l_suppkey as source, year(o_orderdate) as year, max(cast(l_quantity as bigint) % 5) as q from lineitem join orders on o_orderkey = l_orderkey group by all),
+  j as (select w.source as e, w.work, n.c, q.q from w join n on n.work = w.work join orders on o_orderkey = w.work left join q on q.source = w.source and q.year = year(o_orderdate)),
+  cc as (select e, c from j)"""
+
+
+@query(f"""with {_SRC}, h as ({_H}), b as (select e, coalesce(min(nullif(q, 0)), 5) as best_q from j group by e)
+  select entity as source, h, upper_median, best_q, cast((5 - best_q) * h * 2 + upper_median * 3 as bigint) as value from h join b on b.e = h.entity""")
+def source_stats(t):
+    return stats.source_stats(*_sources(t)).withColumn("best_q", F.col("best_q").cast("long"))
+
+
+@query(f"with {_SRC} select q, cast(sum(c) as bigint) as citations from (select distinct coalesce(q, 0) as q, work, c from j) group by q")
+def quartile_citations(t):
+    return stats.quartile_citations(*_sources(t))
+
+
+_REL = """r as (select o_custkey as entity, l_suppkey as inst, count(*) as papers, cast(sum(c) as bigint) as citations, min(y) as first_year, max(y) as last_year
+  from (select distinct o_custkey, o_orderkey, l_suppkey, year(o_orderdate) as y from orders join lineitem on l_orderkey = o_orderkey)
+  join (select l_orderkey, count(*) as c from lineitem group by all) k on k.l_orderkey = o_orderkey group by all)"""
+
+
+@query(f"with {_REL}, k as (select *, row_number() over (partition by entity order by papers desc, last_year - first_year desc, inst) as rank from r) select * from k where rank <= 8")
+def rel_top8(t):
+    pairs = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("work"), F.col("l_suppkey").alias("inst"), F.year("o_orderdate").cast("long").alias("year")).distinct()
+    return stats.institution_relations(pairs.join(stats.citing_counts(order_parts(t)), "work"), 8).withColumn("rank", F.col("rank").cast("long"))
+
+
+_PAIR_N = "p as (select o_custkey as entity, l_suppkey as related, count(*) as score from orders join lineitem on l_orderkey = o_orderkey group by all)"
+
+
+def customer_suppliers(t):
+    return t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("entity"), F.col("l_suppkey").alias("related")).agg(F.count("*").alias("score"))
+
+
+@query(f"with {_PAIR_N}, k as (select *, row_number() over (partition by entity order by score desc, related) as rank from p) select * from k where rank <= 3")
+def top3_by_count(t):
+    return stats.top_related(customer_suppliers(t), 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"with {_PAIR_N}, v as (select s_suppkey as related, cast(floor(s_acctbal) as bigint) as value from supplier), k as (select p.*, v.value, row_number() over (partition by entity order by value desc, score desc, p.related) as rank from p join v on v.related = p.related) select entity, related, score, value, rank from k where rank <= 3")
+def top3_by_value(t):
+    values = t.supplier.select(F.col("s_suppkey").alias("related"), F.floor("s_acctbal").cast("long").alias("value"))
+    return stats.top_by_value(customer_suppliers(t), values, 3).select("entity", "related", "score", "value", F.col("rank").cast("long"))
+
+
+@query("""with cc as (select s_nationkey as nat, o_custkey as cust, count(*) as c from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey group by s_nationkey, o_custkey, o_orderkey),
+  h as (select nat, cust, cast(coalesce(min(case when i > c then i end), max(n)) as bigint) as h from (select *, row_number() over (partition by nat, cust order by c desc) - 1 as i, count(*) over (partition by nat, cust) as n from cc) group by all),
+  k as (select *, row_number() over (partition by nat order by h desc, cust) as rank from h) select cast(nat as bigint) as entity, cust as related, h as score, rank from k where rank <= 5""")
+def top5_by_h(t):
+    rows = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    counts = rows.groupBy(F.col("s_nationkey").cast("long").alias("entity"), F.col("o_custkey").alias("related"), "o_orderkey").agg(F.count("*").alias("c"))
+    return stats.top_by_h(counts, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""with s as (select distinct o_custkey as g, p_brand as item from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey)
+  select x.item as a, y.item as b, count(*) as n from s x join s y on x.g = y.g and x.item < y.item group by all""")
+def cooccurrence_pairs(t):
+    rows = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    return stats.cooccurrence(rows.select(F.col("o_custkey").alias("group"), F.col("p_brand").alias("item")))
+
+
+@query("select p_brand as key, round((c * 0.55e0 + (sum(c) over () / count(*) over ()) * 0.45e0) / sum(c) over (), 10) as baseline from (select p_brand, count(*) as c from lineitem join part on l_partkey = p_partkey group by p_brand)")
+def baseline_share(t):
+    return brand_baseline(t).select("key", F.round("baseline", 10).alias("baseline"))
+
+
+@query(f"with {_BRAND_BASE}, c as (select cast(s_nationkey as bigint) as nation, p_brand as brand, count(distinct (l_orderkey, l_partkey)) as n from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey group by all) select nation, brand, round(n / cast(sum(n) over (partition by nation) as double) / baseline, 9) as spec from c join base_b on key = brand")
+def specialization(t):
+    counts = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    counts = counts.select(F.col("s_nationkey").cast("long").alias("nation"), F.col("p_brand").alias("brand"), "l_orderkey", "l_partkey").distinct().groupBy("nation", "brand").agg(F.count("*").alias("n"))
+    total = counts.groupBy("nation").agg(F.sum("n").alias("total"))
+    rows = counts.join(total, "nation").join(brand_baseline(t), F.col("key") == F.col("brand"))
+    return rows.select("nation", "brand", F.round(F.col("n") / F.col("total") / F.col("baseline"), 9).alias("spec"))
+
+
+# --- features, ranks, relations --------------------------------------------------------------------------------------------
+
+
+def customers(t):
+    papers = stats.work_counts(customer_orders(t))
+    return papers.join(cite_count(t), "entity").select(F.col("entity").alias("id"), "papers", "citations")
+
+
+_CUST = "cu as (select o_custkey as id, count(distinct o_orderkey) as papers, count(*) as links from orders left join lineitem on l_orderkey = o_orderkey group by all), cs as (select o_custkey as id, count(*) as citations from orders join lineitem on l_orderkey = o_orderkey group by all), c as (select cu.id, papers, citations from cu join cs on cs.id = cu.id)"
+_Z = f"{_CUST}, f as (select id, ln(greatest(citations, 1)) as a, citations / cast(greatest(papers, 3) as double) as b from c), z as (select id, (a - avg(a) over ()) / stddev_pop(a) over () as f1, (b - avg(b) over ()) / stddev_pop(b) over () as f2 from f)"
+
+
+@query(f"with {_Z} select id, round(f1, 7) as f1, round(f2, 7) as f2 from z")
+def features_zscore(t):
+    return similar.standardized(customers(t)).select("id", F.round("f1", 7).alias("f1"), F.round("f2", 7).alias("f2"))
+
+
+@query(f"with {_Z} select z.id, round(sqrt((z.f1 - q.f1) * (z.f1 - q.f1) + (z.f2 - q.f2) * (z.f2 - q.f2)), 7) as distance from z, (select * from z where id = 11) q where z.id <> 11 order by 2, 1 limit 8")
+def knn(t):
+    near = similar.nearest(similar.standardized(customers(t)).select("id", F.round("f1", 9).alias("f1"), F.round("f2", 9).alias("f2")), 11, 8)
+    return near.select("id", F.round("distance", 7).alias("distance"))
+
+
+@query(f"with {_CUST}, r as (select *, row_number() over (order by citations desc, id) - 1 as rank from c) select * from r where rank >= 20 and rank < 70")
+def rank_slice(t):
+    ranks = ranking.ranked(customers(t)).select("id", "papers", "citations", "rank")
+    return ranking.page(ranks, 20, 70)
+
+
+@query("select 'customers' as entity, count(*) as n from customer union all select 'suppliers', count(*) from supplier union all select 'parts', count(*) from part")
+def entity_counts(t):
+    return ranking.entity_counts(customers=t.customer, suppliers=t.supplier, parts=t.part)
+
+
+@query(f"""with {_PAIR_N}, a as (select *, row_number() over (partition by entity order by score desc, related) as rank from p),
+  n as (select o_custkey as entity, cast(s_nationkey as bigint) as related, count(*) as score from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey group by all),
+  b as (select *, row_number() over (partition by entity order by score desc, related) as rank from n)
+  select entity, 0 as rel_type, related, score, rank from a where rank <= 3 union all select entity, 1, related, score, rank from b where rank <= 3""")
+def prime_relations(t):
+    nations = customer_suppliers(t).join(t.supplier, F.col("s_suppkey") == F.col("related")).groupBy("entity", F.col("s_nationkey").cast("long").alias("nation")).agg(F.sum("score").alias("score"))
+    second = stats.top_related(nations.select("entity", F.col("nation").alias("related"), "score"), 3)
+    return stats.prime_relations(stats.top_related(customer_suppliers(t), 3), second).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("select distinct p_size as size from part order by p_size limit 16")
+def smallest_distinct(t):
+    return ranking.smallest_distinct(t.part.select(F.col("p_size").alias("size")), "size")
+
+
+@query("select coalesce(c.k, s.k) as id, case when c.k is null then 'right' when s.k is null then 'left' else 'both' end as side from (select distinct c_nationkey as k from customer where c_custkey < 40) c full join (select distinct s_nationkey as k from supplier where s_suppkey < 12) s on c.k = s.k")
+def merge_sides(t):
+    return ranking.merge_sides(t.customer.filter("c_custkey < 40").select(F.col("c_nationkey").alias("id")), t.supplier.filter("s_suppkey < 12").select(F.col("s_nationkey").alias("id")))
+
+
+@query("with a as (select distinct l_orderkey as id from lineitem where l_suppkey = 1), b as (select distinct l_orderkey as id from lineitem where l_suppkey = 2) select id, cast(min(s) as int) as source from (select id, 0 as s from a union all select id, 1 from b) group by id")
+def append_missing(t):
+    served = lambda k: t.lineitem.filter(F.col("l_suppkey") == k).select(F.col("l_orderkey").alias("id"))
+    return ranking.append_missing(served(1), served(2))
+
+
+@query("select l_orderkey as id from lineitem where l_suppkey = 1 intersect select l_orderkey from lineitem where l_suppkey in (2, 3, 4, 5)")
+def intersect_ids(t):
+    served = lambda *k: t.lineitem.filter(F.col("l_suppkey").isin(*k)).select(F.col("l_orderkey").alias("id"))
+    return ranking.intersect_ids(served(1), served(2, 3, 4, 5))
+
+
+@query("select cast(depth as int) as depth, k1, label from (select 0 as depth, cast(null as bigint) as k1, cast(null as varchar) as label union all select distinct 1, cast(n_nationkey as bigint), n_name from supplier join nation on n_nationkey = s_nationkey join lineitem on l_suppkey = s_suppkey)")
+def tree_labels(t):
+    nodes = rollup.rollup(geo_tuples(t).select(F.col("k2").alias("k1"), "ref", "cit"), ["k1"])
+    names = t.nation.select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"))
+    return labels.attach(nodes, ["k1"], {0: names}).select("depth", "k1", "label")
+
+
+# --- names, slugs, search ----------------------------------------------------------------------------------------------------
+
+_SLUG = "array_to_string([x for x in string_split(regexp_replace(lower({0}), '[^a-z ]', '', 'g'), ' ') if x <> ''], '-')"
+
+
+@query(f"select p_partkey as id, {_SLUG.format('p_name')} as slug from part")
+def slugify(t):
+    return t.part.select(F.col("p_partkey").alias("id"), C.slug(F.col("p_name")).alias("slug"))
+
+
+@query(f"""with s as (select p_partkey as id, {_SLUG.format("p_name")} as slug, p_size as works from part),
+  k as (select *, row_number() over (partition by slug order by works desc, id desc) as k from s)
+  select id, case when k = 1 then slug when k <= 24 then slug || '-' || substring('23456789abcdefghijklmno', k - 1, 1) else '' end as slug from k""")
+def slug_unique(t):
+    return slugs.unique_slugs(t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("works"), C.slug(F.col("p_name")).alias("slug")))
+
+
+_NAMED = "n as (select p_partkey as id, p_name as name, p_brand as country, p_type as city from part)"
+
+
+@query(f"with {_NAMED}, f as (select *, case when count(*) over (partition by name) > 1 then name || ' (' || country || ')' else name end as f from n) select id, case when count(*) over (partition by f) > 1 then name || ' (' || city || ')' else f end as name from f")
+def name_disambiguate(t):
+    return slugs.distinct_names(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("country"), F.col("p_type").alias("city")))
+
+
+_TWICE = "p_name || '/' || case when p_size % 2 = 0 then p_name else p_type end"
+
+
+@query(f"""with n as (select p_partkey as id, {_TWICE} as name from part), s as (select *, string_split(name, '/') as p from n)
+  select id, case when len(p) = 2 and least(strlen(p[1]), strlen(p[2])) >= 10 and 1e0 - levenshtein(p[1], p[2]) / cast(least(strlen(p[1]), strlen(p[2])) as double) >= 0.8e0 then p[1] else name end as name from s""")
+def name_dedupe(t):
+    return t.part.select(F.col("p_partkey").alias("id"), C.journal_name(F.expr(_TWICE)).alias("name"))
+
+
+def part_index(t):
+    ranks = ranking.ranked(t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("citations"), F.col("p_name").alias("name")))
+    return search.build_index(ranks.select("rank", "name"))
+
+
+_RANKED = "n as (select row_number() over (order by p_size desc, p_partkey) - 1 as rank, [x for x in string_split(regexp_replace(lower(p_name), '[^a-z ]', '', 'g'), ' ') if x <> ''] as words from part), w as (select distinct rank, unnest(words) as token from n), i as (select distinct rank, token[k:] as token from w, range(2, 40) r(k) where k < length(token))"
+
+
+def _search_sql(prefix: str) -> str:
+    return f"""with {_RANKED}, p as (select rank, case when token = '{prefix}' then 0 else 1 end as partial from w where starts_with(token, '{prefix}')),
+  pd as (select rank, min(partial) as partial from p group by rank), e as (select count(*) as n from pd),
+  q as (select rank, partial from pd union all select rank, 1 from i, e where e.n < 16 and left(token, 2) = left('{prefix}', 2) and (starts_with(token, '{prefix}') or starts_with('{prefix}', token)))
+  select rank, cast(min(partial) as int) as partial from q group by rank order by 2, 1 limit 16"""
+
+
+@query(_search_sql("ste"))
+def search_prefix(t):
+    return search.search(part_index(t), "ste")
+
+
+@query(_search_sql("lue"))
+def search_infix(t):
+    return search.search(part_index(t), "lue")
+
+
+@query(f"""with {_RANKED}, a as (select rank from w where starts_with(token, 're') union select rank from i where left(token, 2) = 're'),
+  b as (select rank, case when token = 'bo' then 0 else 1 end as partial from w where length(token) >= 2 and (starts_with(token, 'bo') or starts_with('bo', token))
+        union all select rank, 1 from i where left(token, 2) = 'bo')
+  select rank, cast(min(partial) as int) as partial from b where rank in (select rank from a) group by rank order by 2, 1 limit 16""")
+def search_multi(t):
+    return search.search(part_index(t), "Re bo")
+
+
+@query("select unnest(range(0, 16)) as rank, 0 as partial")
+def search_empty(t):
+    return search.search(part_index(t), "")
+
+
+# --- ingestion ------------------------------------------------------------------------------------------------------------------
+
+
+@query("select event_id as id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def json_extract(t):
+    return t.events.select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("select p_partkey as parent_id, cast(i - 1 as int) as position, string_split(p_name, ' ')[i] as item from part, range(1, 12) r(i) where i <= len(string_split(p_name, ' '))")
+def explode_lists(t):
+    from .sources.records import child_rows
+
+    return child_rows(t.part.select(F.col("p_partkey").alias("id"), C.split_list(F.col("p_name"), " ").alias("words")), "words")
+
+
+@query("select d.doc_id, d.lang, d.n_chars from documents d join labels l on l.doc_id = d.doc_id where l.quality = 1 and d.n_chars > 500")
+def export_filtered(t):
+    return t.documents.filter("n_chars > 500").join(t.labels.filter("quality = 1").select("doc_id"), "doc_id").select("doc_id", "lang", "n_chars")
+
+
+@query("select o_orderkey as id, cast(case when year(o_orderdate) >= 2001 then 5 when year(o_orderdate) >= 2000 then 4 when year(o_orderdate) >= 1999 then 3 when year(o_orderdate) >= 1998 then 2 when year(o_orderdate) >= 1997 then 1 else 0 end as int) as period, case p_q when 1 then 'Q1' when 2 then 'Q2' when 3 then 'Q3' when 4 then 'Q4' else 'Uncategorized' end as label from (select *, o_orderkey % 6 as p_q from orders)")
+def period_and_quartile(t):
+    return t.orders.select(F.col("o_orderkey").alias("id"), C.period(F.year("o_orderdate"), YEARS).alias("period"), C.quartile_label(F.col("o_orderkey") % 6).alias("label"))

@@ -1,0 +1 @@
+"""No streaming operators: the engine is a batch pipeline whose results are read by key."""
