@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -37,6 +39,13 @@ class Scratch:
         df.write.parquet(self.path(tag))
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of frames that are no longer referred to; tables written here are not touched."""
+        for _ in range(2):  # the first round lets go of Python's references, the second of what they held
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
+
     def drop(self, tag: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(tag))

@@ -5,7 +5,7 @@ no move raises the likelihood of their bigrams; then every other word, in one pa
 neighbours in the corpus, moves to the class that raises the likelihood most. Transitions and emissions are
 counted over the whole corpus afterwards, and the model is mixed with smoothed word frequencies.
 
-The corpus is encoded once into blocks: rows of some two million tokens that are numbered within the block, with the block's own
+The corpus is encoded once into blocks: rows of some 800,000 tokens that are numbered within the block, with the block's own
 word list. Words, their counts, neighbours and classes are aggregated and joined as rows, so no task or driver holds the
 vocabulary; a block only ever meets the words that it contains.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, text_bytes
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 800_000
 END = b""  # the token after each text; no word is empty
 
 
@@ -52,7 +52,7 @@ def encode_blocks(rows: DataFrame) -> DataFrame:
             flat, sizes, used = np.concatenate(tokens), np.array(lens, np.int32), np.array(train, bool)
             seen = np.bincount(flat[np.repeat(used, sizes)], minlength=len(local)).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array([0, len(local)], pa.int32()), pa.array(list(local), pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), pa.array([ids], pa.list_(kind)), _binary([sizes]), _binary([used.astype(np.uint8)]), _binary([flat]), words, _binary([seen])], ["block", "ids", "lens", "train", "tokens", "words", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([part << 16 | number], pa.int64()), pa.array([ids], pa.list_(kind)), _binary([sizes]), _binary([used.astype(np.uint8)]), _binary([flat]), words, _binary([seen])], ["block", "ids", "lens", "train", "tokens", "words", "counts"])
 
         for batch in batches:
             kind = batch.schema.field("id").type
@@ -169,9 +169,9 @@ def neighbours(blocks: DataFrame, core: dict[bytes, int], of: np.ndarray, classe
         for batch in batches:
             for tokens, lens, train, words in zip(*(batch.column(c) for c in ("tokens", "lens", "train", "words"))):
                 number = np.fromiter((core.get(w, -1) for w in words.values.to_pylist()), np.int64, len(words))
-                kind = np.where(number >= 0, of[number], classes).astype(np.uint8)
+                kind = np.append(of, classes)[number].astype(np.uint8)
                 seq = np.concatenate([[0], _training(tokens, lens, train), [0]])
-                where = np.flatnonzero(number[seq] < 0)
+                where = np.flatnonzero(number[seq[1:-1]] < 0) + 1
                 where = where[np.argsort(seq[where], kind="stable")]
                 word, first, n = np.unique(seq[where], return_index=True, return_counts=True)
                 seen = np.stack([kind[seq[where - 1]], kind[seq[where + 1]]], axis=1).ravel()
@@ -238,17 +238,20 @@ def code_blocks(blocks: DataFrame, lexicon: DataFrame, classes: int) -> DataFram
             for block, words in zip(batch.column("block"), batch.column("words")):
                 for k in range(0, len(words), 50_000):
                     part = words.values.slice(k, 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(part), pa.int64()), pa.array(np.arange(k, k + len(part), dtype=np.int32)), part], ["block", "place", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array(block.as_py() << 24 | np.arange(k, k + len(part))), part], ["at", "word"])
 
-    places = blocks.select("block", "words").mapInArrow(listed, "block bigint, place int, word binary")
-    known = places.join(lexicon, "word").select("block", "place", "class", "c")
+    # block and place in one number, then place (23 bits), class (8) and count (32) in one: blocks are far smaller
+    places = blocks.select("block", "words").mapInArrow(listed, "at bigint, word binary")
+    entry = lexicon.select("word", (F.col("class").cast("bigint") * (1 << 32) + F.col("c")).alias("entry"))
+    known = places.join(entry, "word").select(F.shiftright("at", 24).alias("block"), (F.col("at").bitwiseAND(F.lit((1 << 24) - 1)) * (1 << 40) + F.col("entry")).alias("entry"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.slice(0, 1)
         size = row.column("size")[0].as_py()
         kind, n = np.full(size, classes, np.uint8), np.zeros(size, np.int64)
-        place = right.column("place").to_numpy()
-        kind[place], n[place] = right.column("class").to_numpy(), right.column("c").to_numpy()
+        entry = right.column("entry").to_numpy()
+        place = entry >> 40 & (1 << 24) - 1
+        kind[place], n[place] = entry >> 32 & 255, entry & (1 << 32) - 1
         return row.drop_columns(["size"]).append_column("classes", _binary([kind])).append_column("n", _binary([n]))
 
     slim = blocks.select("block", "ids", "lens", "train", "tokens", F.size("words").alias("size"))
@@ -347,18 +350,24 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = words.orderBy(F.desc("c"), "word").limit(core_words).collect()
     core = {bytes(r["word"]): i for i, r in enumerate(top)}
+    scratch.drop("words")
     pairs = np.zeros((len(core), len(core)))
+    scratch.release()
     table = core_bigrams(blocks, core).toArrow()
     pairs[table.column("a").to_numpy(), table.column("b").to_numpy()] = table.column("n").to_numpy()
+    scratch.release()
     of, between = exchange(pairs, classes)
     rest = exchange_rest(neighbours(blocks, core, of, classes), between)
     head = spark.createDataFrame([(bytes(r["word"]), r["c"], int(k)) for r, k in zip(top, of)], "word binary, c bigint, class int")
     lexicon = scratch.put(rest.unionByName(head), "lexicon")
+    scratch.release()
     size, singles = np.zeros(classes), np.zeros(classes)
     for k, n, ones in lexicon.groupBy("class").agg(F.sum("c"), F.sum((F.col("c") == 1).cast("bigint"))).collect():
         size[k], singles[k] = n, ones
     coded = scratch.put(code_blocks(blocks, lexicon, classes), "coded")
     scratch.drop("blocks")
+    scratch.drop("lexicon")
+    scratch.release()
     model = Model(transitions(coded, classes), size, singles, tokens, types, share)
     out = score_blocks(coded, model).withColumn("train_tokens", F.lit(tokens).cast("bigint"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
