@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -60,6 +60,31 @@ def build_graph(t: dict[str, DataFrame], kept: dict[str, DataFrame], config: Con
     return Graph(citing, years, tables, roots, config.year_filters)
 
 
+def write_tables(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """Each table as Parquet under ``path``, and read again: later steps plan from files, not from the records."""
+    out = {}
+    for name, frame in tables.items():
+        frame.write.mode("overwrite").parquet(f"{path}/{name}")
+        out[name] = frame.sparkSession.read.schema(frame.schema).parquet(f"{path}/{name}")
+    return out
+
+
+def write_graph(graph: Graph, path: str) -> None:
+    """The graph's tables as Parquet: citing, years, attributes/<side>_<name>, roots/<kind>."""
+    tables = {"citing": graph.citing, "years": graph.years}
+    tables |= {f"attributes/{side}_{name}": frame for (side, name), frame in graph.tables.items()}
+    tables |= {f"roots/{kind}": frame for kind, frame in graph.roots.items()}
+    write_tables(tables, path)
+
+
+def read_graph(spark: SparkSession, path: str, like: Graph) -> Graph:
+    """A written graph; ``like`` says which attributes and roots it has."""
+    read = lambda name, frame: spark.read.schema(frame.schema).parquet(f"{path}/{name}")
+    tables = {(side, name): read(f"attributes/{side}_{name}", frame) for (side, name), frame in like.tables.items()}
+    roots = {kind: read(f"roots/{kind}", frame) for kind, frame in like.roots.items()}
+    return Graph(read("citing", like.citing), read("years", like.years), tables, roots, like.year_filters, like.baselines, like.labels)
+
+
 def entity_statistics(graph: Graph, config: Config) -> dict[str, DataFrame]:
     """(entity, papers, citations, yearly arrays) for every kind of root."""
     citing = graph.citing.select(F.col("ref").alias("work"), F.col("cit").alias("citing"))

@@ -219,10 +219,13 @@ def test_build_from_records_to_trees(spark, tmp_path):
     t |= {e: records.entity_rows(read(e), e) for e in ("authors", "institutions", "topics")}
     t["source_quartiles"] = spark.createDataFrame([(2015, 1, 2), (2018, 2, 1)], "publication_year int, id long, best_q int")
     config = Config(min_papers_source=1, min_papers_institution=1)
-    kept = build.filter_tables(t, config)
+    t = build.write_tables(t, str(tmp_path / "tables"))
+    kept = build.write_tables(build.filter_tables(t, config), str(tmp_path / "kept"))
     ids = lambda k: sorted(r.id for r in kept[k].collect())
     assert ids("works") == [1, 2, 3] and ids("sources") == [1, 2] and ids("authors") == [1, 2, 3]
-    graph = build.build_graph(t, kept, config)
+    planned = build.build_graph(t, kept, config)
+    build.write_graph(planned, str(tmp_path / "graph"))
+    graph = build.read_graph(spark, str(tmp_path / "graph"), planned)
     assert sorted(map(tuple, graph.citing.collect())) == [(1, 2), (1, 3), (2, 3)]
     root = nodes(trees.tree(graph, "authors", 1, 1), ["k1", "k2", "k3"])
     assert root[()] == (2, 3, 1, 2) and root["DE", 20, 2] == (2, 2, 1, 1) and root["FR",] == (1, 1, 1, 1)
@@ -230,8 +233,8 @@ def test_build_from_records_to_trees(spark, tmp_path):
     assert set(partners) == {(), ("FR",), ("FR", 10), ("FR", 10, 2)}
     for kind, entity in (("authors", 1), ("institutions", 1), ("countries", "FR"), ("sources", 1), ("subfields", 10)):
         for tid in range(len(trees.TREES[kind])):
-            whole = trees.tree(graph, kind, entity, tid)
-            assert trees.pruned_tree(graph, kind, entity, tid).count() <= whole.count()
+            assert {"depth", "k1", "top_source"} <= set(trees.tree(graph, kind, entity, tid).columns)
+        assert 1 <= trees.pruned_tree(graph, kind, entity).count() <= trees.tree(graph, kind, entity).count()
     stat = build.entity_statistics(graph, config)["authors"].filter("entity = 1").first()
     assert (stat.papers, stat.citations, sum(stat.papers_yearly), stat.citations_yearly[2018 - 2015]) == (2, 3, 2, 2)
 
