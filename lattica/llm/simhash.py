@@ -25,22 +25,34 @@ SIDE = 17  # a quarter's population count is 0 to 16
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """SimHash of UTF-8 text over word shingles hashed by XXH64 (seed 42), repeats included."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each ``shingle`` words in a row of UTF-8 text, of all words if there are fewer; none without words."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     n = max(1, len(words) - shingle + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(42)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, joined, repeat(42)), np.uint64, n)
+
+
+def simhash(h: np.ndarray) -> int:
+    """Each bit is that of most hashes; zero without any."""
+    n = len(h)
+    if not n:
+        return 0
     spread = _SPREAD[h.view(np.uint8)].reshape(n, 8)
     blocks = np.add.reduceat(spread, np.arange(0, n, 255), axis=0)  # a byte-wide counter holds 255
     ones = blocks.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """SimHash of UTF-8 text over word shingles hashed by XXH64 (seed 42), repeats included."""
+    return simhash(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp long): one row per input row; null and blank texts get zero."""
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint"
