@@ -158,11 +158,10 @@ class ItemAutomaton:
         return out
 
 
-def build_automata(items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text", max_words: int = 200_000):
-    """(number, automaton) pairs, each over about ``max_words`` item words, built one after the other.
+def item_words(items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text", max_words: int = 200_000) -> tuple[DataFrame, int]:
+    """(name, words) of the items, ids as strings, and the number of automata of about ``max_words`` words that they need.
 
-    Items are dealt to automata by hash, so no more than one automaton's words are on the driver at a time. ``number``
-    refers to the item's place in ``names``, its ids as strings. Items longer than 50,000 words go in as overlapping segments.
+    Items longer than 50,000 words go in as overlapping segments.
     """
 
     def cut(batches):
@@ -178,7 +177,15 @@ def build_automata(items: DataFrame, window: int = 10, id_col: str = "item_id",
     rows = items.select(F.col(id_col).cast("string").alias("name"), text_bytes(text_col).alias("text")).filter("name is not null").mapInArrow(cut, "name string, words binary")
     rows = Scratch(items.sparkSession, "items").put(rows.filter("octet_length(words) > 0"), "words")
     total = rows.agg(F.coalesce(F.sum(F.size(F.split(F.col("words").cast("string"), " "))), F.lit(0))).first()[0]
-    shards = max(1, -(-total // max_words))
+    return rows, max(1, -(-total // max_words))
+
+
+def automata_of(rows: DataFrame, shards: int, window: int = 10):
+    """(names, automaton) pairs of ``item_words``, built one after the other.
+
+    Items are dealt to automata by hash, so no more than one automaton's words are on the driver at a time. An automaton's
+    numbers refer to places in ``names``.
+    """
     for k in range(shards):
         part = rows.filter(F.pmod(F.xxhash64("words"), F.lit(shards)) == k).distinct().collect()
         names = sorted({r["name"] for r in part})
@@ -186,6 +193,11 @@ def build_automata(items: DataFrame, window: int = 10, id_col: str = "item_id",
         yield names, ItemAutomaton([(place[r["name"]], bytes(r["words"]).split()) for r in part], window)
 
 
+def build_automata(items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text", max_words: int = 200_000):
+    """(names, automaton) pairs, each over about ``max_words`` item words, built one after the other."""
+    yield from automata_of(*item_words(items, window, id_col, text_col, max_words), window)
+
+
 _SCAN = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>, longest bigint"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -273,56 +285,115 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[done:]
 
 
-def remove(docs: DataFrame, items: DataFrame, window: int = 10, longest_kept: int = 9, most_coverage: float = 0.5, text_col: str = "text", length_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", max_words: int = 200_000) -> DataFrame:
-    """The documents without benchmark spans of more than ``longest_kept`` words, in the columns they came with.
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def without_hits(text: str, n_words: int, spans: list[tuple[int, int]], most_coverage: float) -> str | None:
+    """The text without its hit spans; None if they hold more than ``most_coverage`` of its words."""
+    spans = united(spans)
+    return None if sum(b - a for a, b in spans) > most_coverage * n_words else without_spans(text, spans)
+
 
-    Documents with more than ``most_coverage`` of their words in hit windows go. What a removal brings together is
-    scanned again until nothing is hit. ``length_col``, if there, is set to the new number of characters. Rows without hits pass
-    unchanged, null texts included. Of a large benchmark each automaton cleans in a pass of its own.
+def remove(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5, text_col: str = "text", length_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", max_words: int = 200_000) -> DataFrame:
+    """The documents without benchmark passages, in the columns they came with.
+
+    A passage is a window of an item or all of a shorter item, as for ``scan``. Documents with more than ``most_coverage`` of their words in
+    passages go. What a removal brings together is scanned again until nothing is hit. ``length_col``, if there, is set to
+    the new number of characters. Rows without hits pass unchanged, null texts included. The result does not depend on ``max_words``: of a
+    large benchmark the hits of all automata are united before a document is judged and cut.
     """
-    spark = docs.sparkSession
+    rows, shards = item_words(items, window, item_col, item_text_col, max_words)
+    if shards > 1:
+        return _remove_by_many(docs, rows, shards, window, most_coverage, text_col, length_col)
+    shared = docs.sparkSession.sparkContext.broadcast(next(automata_of(rows, 1, window))[1])  # at most max_words words
     place = docs.columns.index(text_col)
     lengths = docs.columns.index(length_col) if length_col in docs.columns else None
 
-    def cleaned(docs, automaton):
-        shared = spark.sparkContext.broadcast(automaton)  # at most max_words words
+    def clean(automaton, text: str, row) -> str | None:
+        while text is not None and row[1]:
+            text = without_hits(text, row[0], row[1], most_coverage)
+            row = automaton.scan([(text or "").encode()])[0]
+        return text
 
-        def clean(automaton, text: str, row):
-            while True:
-                n, spans, _, _ = row
-                if sum(b - a for a, b in spans) > most_coverage * n:
-                    return None
-                spans = [s for s in spans if s[1] - s[0] > longest_kept]
-                if not spans:
-                    return text
-                text = without_spans(text, spans)
-                row = automaton.scan([text.encode()])[0]
+    def run(batches):
+        automaton = shared.value
+        for batch in batches:
+            texts = batch.column(place)
+            view = pa.RecordBatch.from_arrays([texts.cast(pa.binary())], ["text"])
+            keep, change = [], {}
+            for at, part in _pieces(view):
+                for i, (raw, row) in enumerate(zip(part, automaton.scan(part)), at):
+                    if row[1]:
+                        text = clean(automaton, raw.decode(), row)
+                        if text is None:
+                            continue
+                        change[i] = text
+                    keep.append(i)
+            if change:
+                columns = list(batch.columns)
+                columns[place] = pa.array([change.get(i, v) for i, v in enumerate(texts.to_pylist())], texts.type)
+                if lengths is not None:
+                    old = columns[lengths]
+                    columns[lengths] = pa.array([len(change[i]) if i in change else v for i, v in enumerate(old.to_pylist())], old.type)
+                batch = pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+KEY, CUT = "__text_key__", "__cut__"
+
+
+def _remove_by_many(docs: DataFrame, rows: DataFrame, shards: int, window: int, most_coverage: float, text_col: str, length_col: str | None) -> DataFrame:
+    """``remove`` by several automata in turn, each in a pass of its own, and all of them again over the texts that were cut."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "decontaminate")
+
+    def matched(source, automaton):
+        shared = spark.sparkContext.broadcast(automaton)  # at most max_words words
 
         def run(batches):
             automaton = shared.value
             for batch in batches:
-                texts = batch.column(place)
-                view = pa.RecordBatch.from_arrays([texts.cast(pa.binary())], ["text"])
-                keep, change = [], {}
-                for at, part in _pieces(view):
-                    for i, (raw, row) in enumerate(zip(part, automaton.scan(part)), at):
-                        if row[1]:
-                            text = clean(automaton, raw.decode(), row)
-                            if text is None:
-                                continue
-                            change[i] = text
-                        keep.append(i)
-                if change:
-                    columns = list(batch.columns)
-                    columns[place] = pa.array([change.get(i, v) for i, v in enumerate(texts.to_pylist())], texts.type)
-                    if lengths is not None:
-                        old = columns[lengths]
-                        columns[lengths] = pa.array([len(change[i]) if i in change else v for i, v in enumerate(old.to_pylist())], old.type)
-                    batch = pa.RecordBatch.from_arrays(columns, batch.schema.names)
-                yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
-
-        return docs.mapInArrow(run, docs.schema)
-
-    for _, automaton in build_automata(items, window, item_col, item_text_col, max_words):
-        docs = cleaned(docs, automaton)
-    return docs
+                for at, texts in _pieces(batch):
+                    hit = [(i, t, r) for i, (t, r) in enumerate(zip(texts, automaton.scan(texts)), at) if r[1]]
+                    keys = batch.column("key").take(pa.array([i for i, _, _ in hit], pa.int64()))
+                    spans = pa.array([[{"start": a, "end": b} for a, b in r[1]] for _, _, r in hit], _SPANS)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array([t for _, t, _ in hit], pa.binary()), pa.array([r[0] for _, _, r in hit], pa.int64()), spans], ["key", "text", "n_words", "spans"])
+
+        return source.mapInArrow(run, "key string, text binary, n_words bigint, spans array<struct<start:bigint,end:bigint>>")
+
+    def cut(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("text", "n_words", "spans"))
+            out = [without_hits(t.decode(), n, [(s["start"], s["end"]) for s in spans], most_coverage) for t, n, spans in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([None if t is None else t.encode() for t in out], pa.binary())], ["key", "text"])
+
+    source = docs.select(text_bytes(text_col).alias("text")).select(F.sha2("text", 256).alias("key"), "text")
+    changed, turn = None, 0
+    while True:
+        hits = None
+        for k, (_, automaton) in enumerate(automata_of(rows, shards, window)):
+            found = scratch.put(matched(source, automaton).dropDuplicates(["key"]), f"hits{turn}_{k}")
+            hits = found if hits is None else hits.unionByName(found)
+        whole = hits.groupBy("key").agg(F.first("text").alias("text"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
+        done = scratch.put(whole.mapInArrow(cut, "key string, text binary"), f"cut{turn}")
+        if changed is not None and done.isEmpty():
+            break
+        changed = done if changed is None else scratch.put(changed.join(done, "key", "left_anti").unionByName(done), f"changed{turn}")
+        source, turn = done.filter("text is not null"), turn + 1
+    changed = changed.select(F.col("key").alias(KEY), F.col("text").cast("string").alias(CUT), F.lit(True).alias("__hit__"))
+    out = docs.withColumn(KEY, F.sha2(text_bytes(text_col), 256)).join(changed, KEY, "left").filter(F.col("__hit__").isNull() | F.col(CUT).isNotNull())
+    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    columns[text_col] = F.coalesce(CUT, columns[text_col])
+    if length_col in docs.columns:
+        columns[length_col] = F.when(F.col(CUT).isNull(), columns[length_col]).otherwise(F.length(CUT).cast(docs.schema[length_col].dataType))
+    return out.select(*(v.alias(c) for c, v in columns.items()))

@@ -66,3 +66,37 @@ def test_odd_documents(spark, odd_docs, no_docs):
     empty = bench.limit(0)
     assert decontaminate.scan(odd_docs, empty).filter("size(spans) > 0").count() == 0
     assert decontaminate.scan(no_docs, bench).count() == 0 and decontaminate.remove(odd_docs, empty).count() == 10
+
+
+def cut_by_hand(text, items, window=10, most=0.5):
+    """remove() by brute force; None if the document goes."""
+    while text:
+        n, hit, _ = naive(text, items, window)
+        if not hit:
+            return text
+        if len(hit) > most * n:
+            return None
+        at, out, done = [m.span() for m in WORD.finditer("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))], "", 0
+        for k in sorted(hit):
+            out += text[done : at[k][0]] if k - 1 not in hit else ""
+            done = at[k][1]
+        text = out + text[done:]
+    return text
+
+
+@pytest.mark.parametrize("max_words", [200_000, 40])
+def test_removal_does_not_depend_on_the_size_of_automata(spark, max_words):
+    rng = random.Random(3)
+    run = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    items = [(i, run("abcdefgh"[i], 15)) for i in range(8)] + [(8, "four short words here"), (9, run("h", 15) + " tail")]
+    a, b, c, other = items[0][1], items[1][1], items[2][1], run("o", 30)
+    texts = [f"{a} {run('p', 20)} {b}", f"{other} {a} {other} {b}", f"{other} a0 a1 a2 a3 a4 {b} a5 a6 a7 a8 a9 a10 {other}", f"{other} b0 b1 b2 b3 b4 {a} b5 b6 b7 b8 b9 b10 {other}"]
+    texts += [f"{other} four short {c} words here {other}", f"{other}, Four short words here! {other}", other, None, "", c, f"{other} {a} {b}"]
+    texts += [" ".join(w for _ in range(6) for w in (rng.choice([a, b, c, other, other, "four short words", "here"]).split()[: rng.randrange(1, 30)])) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in enumerate(texts + texts[:2])], "doc_id int, text string, n_chars int, key string")
+    out = decontaminate.remove(docs, spark.createDataFrame(items, "item_id int, text string"), max_words=max_words)
+    want = {i: cut_by_hand(t, items) for i, t in enumerate(texts + texts[:2])}
+    assert want[0] is None and want[5] == f"{other}, ! {other}"
+    assert out.columns == docs.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {i: t for i, t in want.items() if t is not None or i == 7}
+    assert all(r.n_chars == len(r.text or "") for r in out.collect())
