@@ -588,6 +588,12 @@ def merge_sides(t):
     return ranking.merge_sides(t.customer.filter("c_custkey < 40").select(F.col("c_nationkey").alias("id")), t.supplier.filter("s_suppkey < 12").select(F.col("s_nationkey").alias("id")))
 
 
+@query("select coalesce(o.k, l.k) as id, case when o.k is null then 'right' when l.k is null then 'left' else 'both' end as side from (select distinct cast(o_orderdate as date) as k from orders) o full join (select distinct cast(l_shipdate as date) as k from lineitem) l on o.k = l.k")
+def merge_sides_whole(t):
+    """Days of orders against days of shipping, over whole tables: all three sides occur at every scale."""
+    return ranking.merge_sides(t.orders.select(F.to_date("o_orderdate").alias("id")), t.lineitem.select(F.to_date("l_shipdate").alias("id")))
+
+
 @query("with a as (select distinct l_orderkey as id from lineitem where l_suppkey = 1), b as (select distinct l_orderkey as id from lineitem where l_suppkey = 2) select id, cast(min(s) as int) as source from (select id, 0 as s from a union all select id, 1 from b) group by id")
 def append_missing(t):
     served = lambda k: t.lineitem.filter(F.col("l_suppkey") == k).select(F.col("l_orderkey").alias("id"))
