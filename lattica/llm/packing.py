@@ -7,6 +7,7 @@ the lowest set bit at or above its length; when a new bin is needed and all are
 
 from __future__ import annotations
 
+import re
 from array import array
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ._common import Scratch
 
-CACHE_PIECES = 250_000  # token ids remembered per worker; only speed depends on it
+WHITE_RUN = 10_000  # white-space characters in a row from which a text goes through the full tokenizer
 
 
 #: The split pattern of byte-level BPE vocabularies of this kind, and the bytes they show as themselves.
@@ -35,9 +36,9 @@ def byte_ranks(vocab: dict[str, int]) -> dict[bytes, int]:
 class PieceEncoder:
     """Byte-level BPE ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The pre-tokeniser never joins what lies left and right of a single white-space character (which itself goes
-    with the right side), so such texts are encoded word by word with a memory of words already seen. Texts with
-    runs of white space are encoded whole, those with special-token strings by the full tokenizer.
+    The vocabulary file is read by ``tokenizers``; its ranks and split pattern run in the faster ``tiktoken``, which gives the
+    same ids. Texts with special-token strings, and those with white-space runs so long that the pattern would
+    exhaust its stack, are encoded by the full tokenizer.
     """
 
     def __init__(self, path: str):
@@ -48,42 +49,16 @@ class PieceEncoder:
         special = {t.content: i for i, t in self.full.get_added_tokens_decoder().items()}
         self.special = list(special)
         vocab = {w: i for w, i in self.full.get_vocab(with_added_tokens=False).items() if w not in special}
-        self.plain = tiktoken.Encoding("words", pat_str=SPLIT_PATTERN, mergeable_ranks=byte_ranks(vocab), special_tokens={})
-        self.seen: dict[str, bytes] = {}
+        self.plain = tiktoken.Encoding("plain", pat_str=SPLIT_PATTERN, mergeable_ranks=byte_ranks(vocab), special_tokens={})
+        self.white_run = re.compile(rf"\s{{{WHITE_RUN}}}")
 
-    def _ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special) or (len(text) >= WHITE_RUN and self.white_run.search(text)):
             ids = self.full.encode(text, add_special_tokens=False).ids
         else:
             ids = self.plain.encode_ordinary(text)
         return array("I", ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """A word met for the first time; a letter before closing punctuation ends a pre-token."""
-        if word[-1:] in (",", ".") and word[-2:-1].isalpha():
-            stem = word[:-1]
-            if stem not in self.seen:
-                self.seen[stem] = self._ids(stem)
-            out = self.seen[stem] + self._ids(word[-1])
-        else:
-            out = self._ids(word)
-        self.seen[word] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        words = text.split()
-        if not words or sum(map(len, words)) + len(words) - 1 != len(text) or any(s in text for s in self.special):
-            return self._ids(text)
-        if len(self.seen) > CACHE_PIECES:
-            self.seen.clear()
-        first, *rest = text.replace("\n", " \n").split(" ")
-        rest = [" " + p if p[:1] != "\n" else p for p in rest]
-        try:
-            return self._ids(first) + b"".join(map(self.seen.__getitem__, rest))
-        except KeyError:
-            seen, word = self.seen.get, self._word
-            return self._ids(first) + b"".join([seen(p) or word(p) for p in rest])
-
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids binary): each document's ids, then ``end_id``, cut only if over the capacity.
@@ -118,63 +93,78 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_i
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def best_fit(lengths, capacity: int, open_bins: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each length, in the order given, with at most ``open_bins`` bins open at a time."""
-    where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    free = 0  # bit f: some open bin has f free
-    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-    opened = made = 0
-    for i, size in enumerate(lengths):
-        size = int(size)
-        fits = free >> size
+class Bins:
+    """Bounded-space best-fit: at most ``open_bins`` bins are open; free spaces are bits of one integer.
+
+    A piece goes to the tightest open bin that takes it. If none does, a new bin is opened, and if all allowed are open the fullest
+    closes first. ``made`` and ``closed`` count bins opened and bins closed with space left.
+    """
+
+    def __init__(self, capacity: int, open_bins: int):
+        self.capacity, self.open_bins = capacity, open_bins
+        self.free = 0  # bit f: some open bin has f free
+        self.stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.open = self.made = self.closed = 0
+
+    def _take(self, room: int) -> int:
+        number = self.stacks[room].pop()
+        if not self.stacks[room]:
+            self.free ^= 1 << room
+        self.open -= 1
+        return number
+
+    def _put(self, room: int, number: int) -> None:
+        self.stacks[room].append(number)
+        self.free |= 1 << room
+        self.open += 1
+
+    def place(self, size: int) -> tuple[int, int]:
+        """(bin, offset) of the next piece, of 1 to ``capacity`` tokens."""
+        fits = self.free >> size
         if fits:
             room = size + (fits & -fits).bit_length() - 1
+            number = self._take(room)
         else:
-            if opened == open_bins:  # the fullest closes
-                least = (free & -free).bit_length() - 1
-                stacks[least].pop()
-                opened -= 1
-                if not stacks[least]:
-                    free ^= 1 << least
-            room, made, opened = capacity, made + 1, opened + 1
-            stacks[room].append(made - 1)
-            free |= 1 << room
-        number = stacks[room].pop()
-        if not stacks[room]:
-            free ^= 1 << room
-        where[i], offset[i] = number, capacity - room
-        left = room - size
-        if left:
-            stacks[left].append(number)
-            free |= 1 << left
-        else:
-            opened -= 1
-    return where, offset
+            if self.open == self.open_bins:
+                self._take((self.free & -self.free).bit_length() - 1)
+                self.closed += 1
+            room, number = self.capacity, self.made
+            self.made += 1
+        if room > size:
+            self._put(room - size, number)
+        return number, self.capacity - room
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 4096, pieces_per_packer: int = 8_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, open_bins: int = 256, pieces_per_packer: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to a table with id, piece and length (1 to the capacity).
 
-    Full pieces are sequences of their own. The others go to independent packers, dealt by hash, as many as the
-    table's size asks for; each packs about ``pieces_per_packer`` pieces, longest first within its share. Offsets are gapless from 0 in each sequence. Repeated ids keep all their pieces; null ids are rows like others.
-    An empty table gives no rows. Columns of the names used here (row, packer, sequence_id, offset) are replaced. The input is written to the shared folder first, so a lost executor repeats the
-    same packing.
+    Full pieces are sequences of their own. The others go to independent packers, dealt by hash, as many as the table's size asks
+    for, about ``pieces_per_packer`` pieces each. A packer streams its pieces in the order of the table's rows and holds only its open bins. Offsets are
+    gapless from 0 in each sequence. Repeated ids keep all their pieces; null ids are rows like others. An empty table gives no rows. Columns of the
+    names used here (row, packer, sequence_id, offset) are replaced. The input is written to the shared folder first, and packers sort by row, so a lost
+    executor repeats the same packing.
     """
     scratch = Scratch(pieces.sparkSession, "pack")
     kept = scratch.put(pieces.drop("sequence_id", "offset", "packer").withColumn("row", F.monotonically_increasing_id()), "pieces")
     part = kept.filter(F.col("length") < capacity)
     packers = max(1, -(-part.count() // pieces_per_packer))
-    schema = StructType([*kept.schema.fields]).add("sequence_id", "long").add("offset", "long")
+    dealt = part.withColumn("packer", F.pmod(F.xxhash64("row", F.lit(11)), F.lit(packers)))
+    names = dealt.columns
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("length", "descending"), ("row", "ascending")])
-        where, offset = best_fit(group.column("length").to_numpy(), capacity, open_bins)
-        packer = group.column("packer")[0].as_py()
-        group = group.drop_columns(["packer"])
-        return group.append_column("sequence_id", pa.array((where * packers + packer) * 2 + 1)).append_column("offset", pa.array(offset))
-
-    dealt = part.withColumn("packer", F.pmod(F.xxhash64("row", F.lit(11)), F.lit(packers)).cast("int"))
-    packed = dealt.groupBy("packer").applyInArrow(run, schema)
+    def run(batches):
+        packer, bins = None, None
+        for batch in batches:
+            where, offset = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            owners = batch.column(names.index("packer")).to_pylist()
+            for i, (owner, size) in enumerate(zip(owners, batch.column(names.index("length")).to_pylist())):
+                if owner != packer:
+                    packer, bins = owner, Bins(capacity, open_bins)
+                number, offset[i] = bins.place(size)
+                where[i] = (number * packers + packer) * 2 + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where), pa.array(offset)], [*names, "sequence_id", "offset"])
+
+    schema = StructType([*dealt.schema.fields]).add("sequence_id", "long").add("offset", "long")
+    packed = dealt.repartition("packer").sortWithinPartitions("packer", "row").mapInArrow(run, schema).drop("packer")
     full = kept.filter(F.col("length") >= capacity).withColumn("sequence_id", F.col("row") * 2).withColumn("offset", F.lit(0).cast("bigint"))
     return packed.unionByName(full).drop("row")
 
