@@ -30,8 +30,9 @@ ALLOWED = [
     r"^[0-9]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUIDs
     r"(?i)(example|sample|dummy|placeholder|changeme|xxxxx|your[_-])",
-    r"^[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?$",  # paths, compounds
 ]
+#: Paths and compounds, also no secrets: letters and joiners, a letter first, but no two joiners in a row.
+COMPOUND, JOINERS = r"^[A-Za-z][A-Za-z/_=+-]*$", r"[/_=+-]{2}"
 #: Fixed value: the classic alphabet row that test data repeats.
 ALLOWED_TEXTS = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
 
@@ -62,13 +63,33 @@ def _matches(text: Column, kind: str, pattern: str, least: int, group: int) -> C
     return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(parts, start, step)["spans"]).otherwise(_none())
 
 
-def _xlog2(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+#: counts of a window's characters stand in 64-bit numbers, 12 counts of 5 bits each
+PER_WORD, COUNT_BITS = 12, 5
+WORDS = -(-len(ALPHABET) // PER_WORD)
+_XLOG2 = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
 def _codes(text: Column) -> Column:
-    """Each character's place in the alphabet, from 1."""
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.call_function("locate", F.substring(text, i, F.lit(1)), F.lit(ALPHABET)))
+    """Each character's count: the number that holds it, from 1, and its lowest bit there."""
+
+    def code(c: Column) -> Column:
+        place = F.call_function("locate", c, F.lit(ALPHABET)) - 1
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(place, F.lit(PER_WORD)) * COUNT_BITS)
+        return F.struct((F.floor(place / PER_WORD) + 1).cast("int").alias("word"), bit.alias("one"))
+
+    return F.transform(F.split(text, ""), code)
+
+
+def _moves(codes: Column) -> Column:
+    """What each step of the window takes in and, a window later, lets out."""
+    nothing = F.struct(F.lit(1).alias("word"), F.lit(1).cast("bigint").alias("one"))
+    out = F.slice(F.concat(F.array_repeat(nothing, WINDOW), codes), F.lit(1), F.size(codes))
+    return F.arrays_zip(codes.alias("in"), out.alias("out"))
+
+
+def _count(counts: Column, code: Column) -> Column:
+    """The count of a character: its number, shifted down to its lowest bit."""
+    return F.call_function("div", F.element_at(counts, code["word"]), code["one"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
 
 
 def _not_allowed(candidates: Column) -> Column:
@@ -76,6 +97,7 @@ def _not_allowed(candidates: Column) -> Column:
         allowed = F.lit(False)
         for pattern in ALLOWED:
             allowed = allowed | F.regexp_like(c["text"], F.lit(pattern))
+        allowed = allowed | (F.regexp_like(c["text"], F.lit(COMPOUND)) & ~F.regexp_like(c["text"], F.lit(JOINERS)))
         for known in ALLOWED_TEXTS:
             allowed = allowed | c["text"].contains(known)
         return ~allowed
@@ -86,34 +108,36 @@ def _not_allowed(candidates: Column) -> Column:
 def entropy_spans(text: Column) -> Column:
     """Spans of kind "entropy": from the first to the last window of a candidate that exceeds its class's threshold."""
     found = _matches(text, "entropy", CANDIDATE, WINDOW, 1)
-    # each step binds what the next uses many times
+    # each step binds what the next uses many times; an expression on the candidate inside the aggregate would be evaluated for every character
+    bits_of = lambda c: F.when(F.regexp_like(c, F.lit("^[0-9a-fA-F]+$")), F.lit(HEX_BITS)).otherwise(F.lit(TEXT_BITS))
     cut = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
-    coded = F.transform(_not_allowed(cut), lambda c: F.struct(c["start"].alias("start"), c["text"].alias("text"), _codes(c["text"]).alias("codes")))
+    coded = F.transform(_not_allowed(cut), lambda c: F.struct(c["start"].alias("start"), bits_of(c["text"]).alias("bits"), _codes(c["text"]).alias("codes")))
+    # what the n-th like character adds to a window's sum of n * log2(n)
+    added = F.array(*[F.lit(b - a) for a, b in zip(_XLOG2, _XLOG2[1:])])
+    none = F.lit(0).cast("bigint")
 
     def judged(span: Column) -> Column:
-        candidate, letters = span["text"], span["codes"]
-        bits = F.when(F.regexp_like(candidate, F.lit("^[0-9a-fA-F]+$")), F.lit(HEX_BITS)).otherwise(F.lit(TEXT_BITS))
         zero = F.struct(
-            F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("i"),
+            F.array_repeat(none, WORDS).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("i"),
             F.lit(-1).alias("first"), F.lit(-1).alias("last"),
         )
 
-        def step(acc, code):
+        def seen(acc):
+            """(first, last) with the window that ends before character i judged."""
+            high = (acc["i"] >= WINDOW) & (F.lit(_XLOG2[WINDOW]) - acc["total"] >= span["bits"] * WINDOW - 1e-9)
+            at = acc["i"] - WINDOW
+            return F.when(high & (acc["first"] < 0), at).otherwise(acc["first"]).alias("first"), F.when(high, at).otherwise(acc["last"]).alias("last")
+
+        def step(acc, move):
             full = acc["i"] >= WINDOW
-            out = F.when(full, F.element_at(letters, acc["i"] - WINDOW + 1)).otherwise(F.lit(0))
-            n_in = F.element_at(acc["counts"], code) - F.when(out == code, F.lit(1)).otherwise(F.lit(0))
-            n_out = F.when(full, F.element_at(acc["counts"], F.greatest(out, F.lit(1)))).otherwise(F.lit(0))
-            total = acc["total"] + F.when(full, _xlog2(n_out - 1) - _xlog2(n_out)).otherwise(F.lit(0.0)) + _xlog2(n_in + 1) - _xlog2(n_in)
-            counts = F.transform(acc["counts"], lambda c, k: c + F.when(k + 1 == code, 1).otherwise(0) - F.when(k + 1 == out, 1).otherwise(0))
-            i = acc["i"] + 1
-            high = (i >= WINDOW) & (WINDOW * math.log2(WINDOW) - total >= bits * WINDOW - 1e-9)
-            at = i - WINDOW
-            return F.struct(
-                counts.alias("counts"), total.alias("total"), i.alias("i"),
-                F.when(high & (acc["first"] < 0), at).otherwise(acc["first"]).alias("first"), F.when(high, at).otherwise(acc["last"]).alias("last"),
-            )
-
-        best = F.aggregate(letters, zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+            new, old = move["in"], move["out"]
+            n_in = _count(acc["counts"], new) + F.when(full & (new == old), F.lit(0)).otherwise(F.lit(1))
+            lost = F.when(full, F.element_at(added, _count(acc["counts"], old))).otherwise(F.lit(0.0))
+            change = lambda k: F.when(k == new["word"], new["one"]).otherwise(none) - F.when(full & (k == old["word"]), old["one"]).otherwise(none)
+            counts = F.transform(acc["counts"], lambda c, k: c + change(k + 1))
+            return F.struct(counts.alias("counts"), (acc["total"] - lost + F.element_at(added, n_in)).alias("total"), (acc["i"] + 1).alias("i"), *seen(acc))
+
+        best = F.aggregate(_moves(span["codes"]), zero, step, lambda acc: F.struct(*seen(acc)))
         return F.struct(span["start"].alias("at"), best.alias("best"))
 
     kept = F.filter(F.transform(coded, judged), lambda s: s["best"]["first"] >= 0)
@@ -133,7 +157,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, text, base, added): spans as arrays of (kind, start, end), sorted by start, then kind as listed.
 
     Base spans are all kept; entropy spans that touch a base span add nothing and are left out. Null text is empty. Repeated
-    and null ids keep their rows. Works row by row, without a shuffle.
+    and null ids keep their rows. Texts and candidates may be of any length. Works row by row, without a shuffle.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
@@ -172,10 +196,13 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "
     Null texts stay null and texts without spans stay as they are.
     """
     names, text = docs.columns, F.coalesce(F.col(text_col), F.lit(""))
+    spans, high = "spans", "high"
+    while {spans, high} & set(names):  # names of our own
+        spans, high = f"_{spans}", f"_{high}"
     base = F.concat(*[_matches(text, *p) for p in BASE_PATTERNS])
-    marked = docs.withColumn("__base__", base).withColumn("__high__", entropy_spans(text)).withColumn("__spans__", all_spans(F.col("__base__"), F.col("__high__")))
-    changed = F.size("__spans__") > 0
-    out = {text_col: F.when(changed, redact(text, F.col("__spans__"), mask)).otherwise(F.col(text_col))}
+    marked = docs.withColumn(high, entropy_spans(text)).withColumn(spans, all_spans(base, F.col(high)))
+    changed = F.size(spans) > 0
+    out = {text_col: F.when(changed, redact(text, F.col(spans), mask)).otherwise(F.col(text_col))}
     marked = marked.withColumns(out)
     if length_col in names:
         marked = marked.withColumn(length_col, F.when(changed, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))

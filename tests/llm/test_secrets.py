@@ -19,7 +19,8 @@ def naive(text):
     added = []
     for m in re.finditer(secrets.CANDIDATE, text):
         c = m[0]
-        if any(re.search(p, c) for p in secrets.ALLOWED) or any(a in c for a in secrets.ALLOWED_TEXTS):
+        compound = re.fullmatch(r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?", c)
+        if compound or any(re.search(p, c) for p in secrets.ALLOWED) or any(a in c for a in secrets.ALLOWED_TEXTS):
             continue
         least = secrets.HEX_BITS if re.fullmatch("[0-9a-fA-F]+", c) else secrets.TEXT_BITS
         high = []
@@ -57,6 +58,19 @@ def test_spans_match_brute_force(spark):
     assert found > 20
 
 
+def test_candidates_of_any_length(spark):
+    rng = random.Random(3)
+    token = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    texts = ["ab-" * 300_000, "ab--" * 5_000, token(300_000, secrets.ALPHABET), token(1_000_000, "0123456789abcdef"), "0aB" * 100_000 + token(40, secrets.ALPHABET), "token=" * 20_000, "AKIA" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    for r in secrets.scan(docs).collect():
+        base, added = naive(texts[r.id])
+        assert [(s.start, s.kind, s.end) for s in r.base] == [(a, k, e) for a, _, k, e in base]
+        assert [(s.start, s.end) for s in r.added] == [(a, e) for a, _, _, e in added]
+    million = spark.createDataFrame([(1, "x " + token(1_000_000, secrets.ALPHABET[:62]) + " y"), (2, "ab-" * 333_334)], "doc_id int, text string")
+    assert {r.doc_id: r.text for r in secrets.redacted(million, length_col=None).collect()} == {1: "x [secret] y", 2: "ab-" * 333_334}
+
+
 def test_masking_and_odd_documents(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(1, "é token='abcdefgh' end", 22, "k"), (2, "nothing", 7, "k"), (3, None, None, "k")], "doc_id long, text string, n_chars long, base string")
     rows = {r.doc_id: r for r in secrets.redacted(docs).collect()}
