@@ -70,12 +70,81 @@ def test_scores_of_a_corpus(spark, monkeypatch, block):
     assert out and sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_every_word_gets_a_class_by_its_neighbours(spark):
-    between = np.array([[1.0, 90.0], [90.0, 1.0]])
-    seen = [(b"x", bytes([0, 0])), (b"x", bytes([0, 2])), (b"y", bytes([1, 1] * 5)), (b"z", bytes([2, 2]))]
-    frame = spark.createDataFrame(seen, "word binary, seen binary").repartition(2)
-    got = {bytes(r.word): (r.c, r["class"]) for r in brown.exchange_rest(frame, between).collect()}
-    assert got[b"x"] == (2, 1) and got[b"y"] == (5, 0) and got[b"z"][0] == 1
+def plain_scores(texts, held, classes, core_words, rounds, share=0.9):
+    """The score of each text by dictionaries; only the sequential start uses the operator's own exchange."""
+    tokens = [t.encode().lower().split() + [b""] for t in texts]
+    line = [b""] + [w for i, ws in enumerate(tokens) if not held(i) for w in ws]
+    count, bigram = Counter(line[1:]), Counter(zip(line, line[1:]))
+    top = sorted(count, key=lambda w: (-count[w], w))[:core_words]
+    matrix = np.array([[bigram[a, b] for b in top] for a in top], float)
+    of, between = brown.exchange(matrix, classes)
+    kind = dict(zip(top, map(int, of)))
+    for turn in range(rounds):
+        if turn:
+            between = np.zeros((classes, classes))
+            for (a, b), n in bigram.items():
+                between[kind[a], kind[b]] += n
+        smooth, new = between + 0.5, {}
+        for w in count:
+            left, right = np.zeros(classes), np.zeros(classes)
+            for (a, b), n in bigram.items():
+                if b == w and a in kind:
+                    left[kind[a]] += n
+                if a == w and b in kind:
+                    right[kind[b]] += n
+            gain = np.zeros(classes)
+            for k in range(classes):
+                ins, outs = smooth[:, k].copy(), smooth[k].copy()
+                total_in, total_out = ins.sum(), outs.sum()
+                if kind.get(w) == k:
+                    ins, outs = np.maximum(ins - left, 0.5), np.maximum(outs - right, 0.5)
+                    total_in, total_out = max(total_in - left.sum(), 0.5), max(total_out - right.sum(), 0.5)
+                gain[k] = sum(left[j] * math.log(ins[j] / total_in) + right[j] * math.log(outs[j] / total_out) for j in range(classes))
+            best = int(gain.argmax())
+            new[w] = kind[w] if w in kind and (not turn or gain[kind[w]] >= gain[best] - 1e-9) else best
+        kind = new
+    pairs, size, singles = np.zeros((classes, classes)), np.zeros(classes), np.zeros(classes)
+    for (a, b), n in bigram.items():
+        pairs[kind[a], kind[b]] += n
+    for w, n in count.items():
+        size[kind[w]] += n
+        singles[kind[w]] += n == 1
+    total, types = sum(count.values()), len(count)
+    even = size / total
+
+    def chance(before, w):
+        row = pairs[kind[before]] if before in kind else None
+        seen = 0 if row is None else (row > 0).sum()
+        follow = even if row is None or not row.sum() else (row + seen * even) / (row.sum() + seen)
+        fresh = np.minimum(0.5, singles / np.maximum(1, size))
+        by_class = follow[kind[w]] * (1 - fresh[kind[w]]) * count[w] / size[kind[w]] if w in kind else follow @ fresh
+        return share * by_class + (1 - share) * (count[w] + 1) / (total + types + 1)
+
+    return [sum(math.log10(chance(a, w)) for a, w in zip([b""] + ws, ws)) for ws in tokens]
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_scores_equal_a_plain_computation(spark, monkeypatch, rounds):
+    monkeypatch.setattr(brown, "BLOCK_TOKENS", 150)
+    monkeypatch.setattr(brown, "HOME_WORDS", 40)
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(80)] + ["É", "漢"]
+    texts = [" ".join(words[min(81, int(rng.expovariate(0.05)))] for _ in range(rng.randrange(0, 40))) + f" own{i % 7 * i}" for i in range(60)] + ["the " * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id").sortWithinPartitions("doc_id")
+    # the order of texts decides which words meet across texts: an end token stands between all of them, so it does not matter
+    want = plain_scores(texts, lambda i: zlib.crc32(str(i).encode()) % 7 == 2, 5, 12, rounds)
+    got = {r.id: r.score for r in brown.score(docs, HELD(), classes=5, core_words=12, rounds=rounds).collect()}
+    assert len(got) == len(texts)
+    for i, x in enumerate(want):
+        assert math.isclose(got[i], x, rel_tol=1e-6), (i, got[i], x)
+
+
+def test_counts_over_a_byte_and_own_counts():
+    between = np.array([[1.0, 900.0], [900.0, 1.0]])
+    counts = np.zeros((4, 6))
+    counts[0, 0] = counts[1, 3] = 5  # after, and before, words of class 0
+    counts[2, 1] = counts[3, 1] = 300
+    assert brown.best_classes(counts, between, np.array([2, 2, 2, 1])).tolist() == [1, 1, 0, 0]
 
 
 def test_odd_documents(odd_docs, no_docs):
