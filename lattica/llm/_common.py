@@ -8,6 +8,7 @@ import time
 import uuid
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,18 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, all lowest bytes first."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpacked(value, kind) -> np.ndarray:
+    """The numbers in an Arrow scalar made by ``packed``."""
+    planes = np.frombuffer(zstandard.decompress(value.as_buffer()), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def text_bytes(col: str):
     """The UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

@@ -26,23 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch, text_bytes
+from ._common import packed as _packed
+from ._common import unpacked as _unpacked
 
 BLOCK_TOKENS = 3_000_000
 HOME_WORDS = 500_000  # list entries a home
 END = b""  # the token after each text; no word is empty
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Numbers as compressed bytes, all lowest bytes first."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def _unpacked(value, kind) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(value.as_buffer()), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def _rows(table):
     """Dictionaries of a batch's or table's values, as Arrow scalars."""
     names = table.column_names if isinstance(table, pa.Table) else table.schema.names

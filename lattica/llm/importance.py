@@ -4,10 +4,10 @@ Two generative models over hashed n-grams, one of target text (documents labelle
 give each document a log importance ratio; Gumbel noise is added and the k largest are kept, which samples k documents
 without replacement in proportion to their importance.
 
-N-grams are words, openings of 5 and 7 letters, and repeats of a word in a row up to the fourth. A document counts
-each once in the models and as often as it occurs in its score. An n-gram's ratio is used where the target has fewer documents than the raw
-text leads to expect, by more than ``deviations`` standard deviations; elsewhere it is one, so that rare n-grams
-add no noise and length adds no weight.
+N-grams are words, pairs of neighbouring words, openings of 5 and 7 letters, and repeats of a word in a row up to the fourth; pairs have
+buckets of their own. A document counts each once in the models and as often as it occurs in its score. An n-gram's
+smoothed ratio, above or below one, is used where target and expectation differ by more than ``deviations`` standard
+deviations; elsewhere it is one, as the many n-grams that are too rare to tell would else add up to noise.
 """
 
 from __future__ import annotations
@@ -22,36 +22,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ._common import Scratch
+from ._common import packed as _packed
+from ._common import unpacked as _unpacked
 
 CHUNK = 4096  # buckets sent together
+DOCUMENTS = -1  # in place of a chunk: numbers of documents
+PAIR_A, PAIR_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd numbers that mix two hashes
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 CACHE_WORDS = 300_000  # only speed depends on it
 PART = 256  # texts at a time
 
 
 class NGrams(dict):
-    """Numbers the words of texts and keeps the hashed n-grams of each; the n-grams of all words stand in one flat array."""
+    """Numbers the words of texts and keeps the hashed n-grams of each; the n-grams of all words stand in one flat array.
+
+    Buckets below 2**bits are those of single words, the same number above them those of pairs.
+    """
 
     def __init__(self, bits: int):
         import xxhash
 
-        self.hash = lambda s: xxhash.xxh64_intdigest(s) >> (64 - bits)
+        self.bits, self.full_hash = bits, xxhash.xxh64_intdigest
         self.repeats = np.array([self.hash(f"={k}") for k in (1, 2, 3, 4)])
-        self.flat, self.first = array("q"), array("q", [0])
+        self.forget()
+
+    def hash(self, token: str) -> int:
+        return self.full_hash(token) >> (64 - self.bits)
+
+    def forget(self) -> None:
+        self.clear()
+        self.flat, self.first, self.codes = array("q"), array("q", [0]), array("Q")
 
     def __missing__(self, word: str) -> int:
         tokens = _TOKEN.findall(word)
         self.flat.extend([self.hash(t) for t in tokens])
         self.flat.extend([self.hash("^" + t[:n]) for t in tokens if t[0].isalpha() for n in (5, 7) if len(t) > n])
         self.first.append(len(self.flat))
+        self.codes.append(self.full_hash("".join(filter(str.isalnum, word)) or word))  # in pairs words stand without punctuation
         self[word] = number = len(self.first) - 2
         return number
 
     def texts(self, texts: list[str]):
         """For each text: its words that do not repeat the one before, as numbers, and its repeats, as n-grams."""
         if len(self) > CACHE_WORDS:
-            self.clear()
-            self.flat, self.first = array("q"), array("q", [0])
+            self.forget()
         out = []
         for text in texts:
             words = text.lower().split()
@@ -66,39 +80,50 @@ class NGrams(dict):
                 out.append((ids, self.repeats[:0]))
         return out
 
-    def views(self) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams, first n-gram of each word and the end); to be dropped before further texts."""
-        return np.frombuffer(self.flat, np.int64), np.frombuffer(self.first, np.int64)
+    def views(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n-grams, first n-gram of each word and the end, hash of each word); to be dropped before further texts."""
+        return np.frombuffer(self.flat, np.int64), np.frombuffer(self.first, np.int64), np.frombuffer(self.codes, np.uint64)
 
     def expand(self, ids: np.ndarray) -> np.ndarray:
-        """The n-grams of a sequence of words."""
-        flat, first = self.views()
+        """The n-grams of single words of a sequence of words."""
+        flat, first, _ = self.views()
         n = first[ids + 1] - first[ids]
         at = np.arange(n.sum()) + np.repeat(first[ids] - (np.cumsum(n) - n), n)
         return flat[at]
 
+    def pairs(self, ids: np.ndarray) -> np.ndarray:
+        """The n-grams of two words of a sequence of words."""
+        codes = np.frombuffer(self.codes, np.uint64)[ids]
+        mixed = (codes[:-1] * np.uint64(PAIR_A) + codes[1:]) * np.uint64(PAIR_B)
+        return (mixed >> np.uint64(64 - self.bits)).view(np.int64) + (1 << self.bits)
+
 
 def _counts(bits: int):
+    size = 2 << bits
+
     def run(batches):
         grams = NGrams(bits)
-        raw, target = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
-        place = np.zeros(1 << bits, np.int64)
+        raw, target = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        place = np.zeros(size, np.int64)
+        documents = np.zeros(2, np.int64)
         for batch in batches:
             good = batch.column("good").to_pylist()
             for at in range(0, batch.num_rows, PART):
                 part = [t or "" for t in batch.column("text").slice(at, PART).to_pylist()]
                 for i, (ids, repeats) in enumerate(grams.texts(part), at):
-                    which = np.concatenate([grams.expand(ids), repeats])
+                    which = np.concatenate([grams.expand(ids), repeats, grams.pairs(ids)])
                     order = np.arange(len(which))
                     place[which] = order  # of equal n-grams one remains
                     which = which[place[which] == order]
                     raw[which] += 1
                     if good[i]:
                         target[which] += 1
-        for k in range(0, 1 << bits, CHUNK):
+            documents += [batch.num_rows, sum(map(bool, good))]
+        for k in range(0, size, CHUNK):
             r, t = raw[k : k + CHUNK], target[k : k + CHUNK]
             if r.any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // CHUNK], pa.int32()), "raw": pa.array([r.tobytes()], pa.binary()), "target": pa.array([t.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // CHUNK], pa.int32()), "raw": pa.array([_packed(r)], pa.binary()), "target": pa.array([_packed(t)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([DOCUMENTS], pa.int32()), "raw": pa.array([_packed(documents[:1].astype(np.int32))], pa.binary()), "target": pa.array([_packed(documents[1:].astype(np.int32))], pa.binary())})
 
     return run
 
@@ -106,34 +131,38 @@ def _counts(bits: int):
 def _sum_chunks(group: pa.Table) -> pa.Table:
     out = {"chunk": pa.array([group.column("chunk")[0].as_py()], pa.int32())}
     for name in ("raw", "target"):
-        total = np.zeros(CHUNK, np.int64)
-        for value in group.column(name):
-            total += np.frombuffer(value.as_buffer(), np.int32)
-        out[name] = pa.array([total.tobytes()], pa.binary())
+        total = sum(_unpacked(value, np.int32).astype(np.int64) for value in group.column(name))
+        out[name] = pa.array([_packed(total)], pa.binary())
     return pa.table(out)
 
 
-def log_ratios(docs: DataFrame, bits: int = 20, smoothing: float = 0.5, deviations: float = 3.5) -> np.ndarray:
-    """Log ratio of the target to the raw model for each of 2**bits buckets, from columns text and good.
+def log_ratios(docs: DataFrame, bits: int = 20, smoothing: float = 2.0, deviations: float = 3.0) -> np.ndarray:
+    """Log ratio of the target to the raw model for each of 2**bits buckets of single words, then as many of pairs, from columns text and good.
 
-    Each task sends its counts in chunks, added up on the executors; the driver gets 2**bits pairs of numbers.
+    Each task sends its counts in packed chunks, added up on the executors; the driver gets two numbers a bucket.
     """
     chunks = docs.select("text", "good").mapInArrow(_counts(bits), "chunk int, raw binary, target binary")
-    chunks = chunks.groupBy("chunk").applyInArrow(_sum_chunks, "chunk int, raw binary, target binary").collect()
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    for row in chunks:
-        at = slice(row["chunk"] * CHUNK, (row["chunk"] + 1) * CHUNK)
-        raw[at], target[at] = np.frombuffer(row["raw"], np.int64), np.frombuffer(row["target"], np.int64)
-    expected = raw * (target.sum() / max(1.0, raw.sum()))
+    chunks = chunks.groupBy("chunk").applyInArrow(_sum_chunks, "chunk int, raw binary, target binary").toArrow()
+    raw, target = np.zeros(2 << bits), np.zeros(2 << bits)
+    documents = np.zeros(2)
+    for chunk, r, t in zip(*chunks.columns):
+        r, t, at = _unpacked(r, np.int64), _unpacked(t, np.int64), chunk.as_py() * CHUNK
+        if at < 0:
+            documents = np.array([r[0], t[0]])
+        else:
+            raw[at : at + CHUNK], target[at : at + CHUNK] = r, t
+    share = target.sum() / max(1.0, raw.sum())
+    expected = raw * share
     ratio = np.log((target + smoothing) / (expected + smoothing))
-    return np.where(expected - target > deviations * np.sqrt(expected), ratio, 0.0).astype(np.float32)
+    spread = np.sqrt((expected + 1) * (1 - min(1.0, documents[1] / max(1.0, documents[0]))))
+    return np.where(np.abs(target - expected) > deviations * spread, ratio, 0.0).astype(np.float32)
 
 
 def scored(docs: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their log importance ratio, ``log_ratio`` (last; double; a column of that name is replaced)."""
     docs = docs.drop("log_ratio")
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # 2**bits numbers
-    bits = len(ratios).bit_length() - 1
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # 2**(bits + 1) numbers
+    bits = len(ratios).bit_length() - 2
     place = docs.columns.index(text_col)
 
     def run(batches):
@@ -143,13 +172,13 @@ def scored(docs: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataF
             out = []
             for at in range(0, batch.num_rows, PART):
                 found = grams.texts([t or "" for t in batch.column(place).slice(at, PART).to_pylist()])
-                flat, first = grams.views()
+                flat, first, _ = grams.views()
                 done = len(by_word) if len(by_word) < len(first) else 0  # fewer words: the memory was cleared
                 if done < len(first) - 1:
                     new = np.add.reduceat(ratios[flat[first[done] :]], first[done:-1] - first[done])
                     by_word = np.concatenate([by_word[:done], new])
-                del flat, first
-                out += [float(by_word[ids].sum() + ratios[repeats].sum()) for ids, repeats in found]
+                del flat, first, _
+                out += [float(by_word[ids].sum() + ratios[repeats].sum() + ratios[grams.pairs(ids)].sum()) for ids, repeats in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "log_ratio"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("log_ratio", "double"))
@@ -180,21 +209,26 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float | None:
 
 
 class Resampler:
-    """A fitted importance resampler: n-gram ratios, the number to keep and the key that the last kept row has."""
+    """A fitted importance resampler: n-gram ratios, the number to keep, and every document's score and key."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 200_000, bits: int = 20, temperature: float = 0.25, seed: int = 42):
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 200_000, bits: int = 20, temperature: float = 0.25, seed: int = 42, carry: bool = False):
         """``labels`` has (id, good boolean). At most ``max_labels`` labelled ids, those of least hash, are used and broadcast.
 
-        Without labels of both kinds every row is kept. ``temperature`` divides log ratios before noise is added.
+        Without labels of both kinds every row is kept. Log ratios are divided by ``temperature`` before Gumbel noise, drawn by a hash of id and
+        ``seed``, is added. As many rows are kept as reach the score that best separates the labels. Null and empty texts have a ratio of one (score 0). Rows
+        with null ids are unlabelled and share one draw, as do rows with the same id: the same key if their texts score alike. An empty
+        table keeps nothing. ``carry`` stores the documents with their scores, for ``kept_documents``.
         """
         spark = docs.sparkSession
-        self.id_col, self.text_col, self.temperature, self.seed = id_col, text_col, temperature, seed
+        self.columns, self.id_col, self.text_col, self.temperature, self.seed = docs.columns, id_col, text_col, temperature, seed
         once = labels.filter("id is not null and good is not null").groupBy("id").agg(F.min("good").alias("good"))
         sample = spark.createDataFrame(once.orderBy(F.xxhash64("id"), "id").limit(max_labels).toArrow())
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id", "left")
+        rest = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if carry and c not in (id_col, text_col)])
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest")).join(F.broadcast(sample), "id", "left")
         self.ratios = log_ratios(rows, bits)
-        scratch = Scratch(spark, "importance")
-        judged = scratch.put(scored(rows, self.ratios).select("id", "good", "log_ratio"), "scores")
+        self.scratch = Scratch(spark, "importance")
+        result = scored(rows, self.ratios)
+        judged = self.scratch.put(result if carry else result.drop("text", "rest"), "scores")
         step = F.greatest(F.round("log_ratio", 2), F.lit(-1000.0))
         curve = judged.filter("good is not null").groupBy(step.alias("score"), "good").count().collect()
         self.cut = best_cut([(r["score"], r["good"], r["count"]) for r in curve])
@@ -206,16 +240,17 @@ class Resampler:
         uniform = (F.pmod(F.xxhash64(F.col(id_name), F.lit(self.seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
         return F.col("log_ratio") / F.lit(self.temperature) - F.log(-F.log(uniform))
 
-    def keep(self, docs: DataFrame) -> DataFrame:
-        """Rows among the k largest keys, with columns log_ratio and gumbel_key; equal keys at the end all stay."""
-        return self._best(scored(docs, self.ratios, self.text_col).withColumn("gumbel_key", self._key(self.id_col)))
-
     def kept(self) -> DataFrame:
-        """(id, log_ratio, gumbel_key) of the fitted documents that are kept, without reading their texts again."""
-        return self._best(self.judged)
+        """(id, log_ratio, gumbel_key) of the documents among the k largest keys; equal keys at the end all stay."""
+        return self._best().select("id", "log_ratio", "gumbel_key")
+
+    def kept_documents(self) -> DataFrame:
+        """The documents that are kept, in the columns they came with, read from the stored scores."""
+        source = {self.id_col: "id", self.text_col: "text"}
+        return self._best().select(*[F.col(source.get(c, f"rest.c{i}")).alias(c) for i, c in enumerate(self.columns)])
 
-    def _best(self, rows: DataFrame) -> DataFrame:
-        return rows if self.least_key is None else rows.filter(F.col("gumbel_key") >= F.lit(self.least_key))
+    def _best(self) -> DataFrame:
+        return self.judged if self.least_key is None else self.judged.filter(F.col("gumbel_key") >= F.lit(self.least_key))
 
 
 def best_cut(curve: list[tuple[float, bool, int]]) -> float:
