@@ -37,7 +37,7 @@ class Scratch:
         return f"{self.root}/{tag}"
 
     def put(self, df: DataFrame, tag: str) -> DataFrame:
-        df.write.parquet(self.path(tag))
+        df.write.option("compression", "zstd").parquet(self.path(tag))
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
     def release(self) -> None:

@@ -53,12 +53,12 @@ def corpus(seed=5):
     return list(zip(order, texts))
 
 
-@pytest.mark.parametrize("tile_rows", [2048, 3])
-def test_near_dedup_keeps_what_brute_force_keeps(spark, tile_rows):
+@pytest.mark.parametrize("tile_rows, bits", [(2048, 24), (3, 24), (2048, 3)])
+def test_near_dedup_keeps_what_brute_force_keeps(spark, tile_rows, bits):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = survivors(rows)
-    assert {r.doc_id for r in similar_texts.keep_one(docs, tile_rows=tile_rows).collect()} == want
+    assert {r.doc_id for r in similar_texts.keep_one(docs, tile_rows=tile_rows, bits=bits).collect()} == want
     if tile_rows > 3:
         stage = corpus_pipeline.near_dedup(spark, docs, "")
         assert stage.columns == docs.columns and {r.doc_id for r in stage.collect()} == want
