@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class Config:
@@ -25,3 +28,12 @@ class Config:
     specialization_rate: float = 0.45
     fixed_authors: tuple[int, ...] = field(default=())
     dropped_institutions: tuple[int, ...] = field(default=())
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """The cluster's shared folder is used as it is; only in a local session that names none (tests) a private one is set."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import checkpoint_folder
 from ..functions.columns import slug
 
 #: Fixed value: what is appended, after a hyphen, to the last candidate when all are taken.
@@ -59,7 +58,7 @@ def assign_slugs(rows: DataFrame) -> DataFrame:
     forms = F.concat("candidates", F.transform(F.sequence(F.lit(1), F.lit(len(SUFFIXES))), lambda i: F.concat(F.element_at("candidates", -1), F.lit("-"), F.substring(F.lit(SUFFIXES), i, F.lit(1)))))
     wanted = plain.filter(F.size("candidates") > 0).select("id", F.explode(F.array_distinct(forms)).alias("form"))
     shared = wanted.join(wanted.groupBy("form").count().filter("count > 1").select("form"), "form", "left_semi")
-    _checkpoint_folder(rows)
+    checkpoint_folder(rows.sparkSession)
     group = shared.select("id").distinct().withColumn("group", F.col("id"))
     while True:
         low = shared.join(group, "id").groupBy("form").agg(F.min("group").alias("group"))
@@ -84,13 +83,6 @@ def assign_slugs(rows: DataFrame) -> DataFrame:
     return alone.unionByName(together)
 
 
-def _checkpoint_folder(rows: DataFrame) -> None:
-    """The cluster's shared folder is used as it is; only where none is named (tests) a private one is set."""
-    spark = rows.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
-
-
 def distinct_names(rows: DataFrame) -> DataFrame:
     """(id, name) from (id, name, country, city): of equal names each gets " (country)"; where that is still shared, the plain name and " (city)".
 

@@ -168,7 +168,7 @@ def order_graph(t: Tables) -> trees.Graph:
     r_ci, c_ci = (x.join(nation_of, "inst").select("work", "country", "inst") for x in (r_inst, c_inst))
     segment = orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("work", F.col("c_mktsegment").alias("subfield"), "topic")
     part = t.part.select(F.col("p_partkey").alias("work"), F.col("p_brand").alias("subfield"), F.col("p_type").alias("topic"), (F.col("p_size") % 10).cast("long").alias("source"))
-    author = orders.select("work", F.col("o_custkey").alias("author"))
+    author = orders.select("work", F.col("o_custkey").alias("author")).union(r_inst).distinct()  # its customer and its suppliers
     tables = {
         ("r", "source"): orders.select("work", "source"), ("r", "quartile_source"): orders.select("work", (F.col("year") % 4).cast("long").alias("quartile"), "source"),
         ("r", "subfield"): segment.select("work", "subfield"), ("r", "subfield_topic"): segment, ("r", "inst"): r_inst, ("r", "country_inst"): r_ci,
@@ -188,7 +188,7 @@ _GRAPH_SQL = """
   r_source as (select o_orderkey as work, cast(left(o_orderpriority, 1) as bigint) as source, cast(year(o_orderdate) % 4 as bigint) as quartile, year(o_orderdate) as year from orders),
   r_segment as (select o_orderkey as work, c_mktsegment as subfield, o_orderstatus as topic from orders join customer on c_custkey = o_custkey),
   r_ci as (select distinct l_orderkey as work, country, inst from lineitem join nation_of on inst = l_suppkey),
-  r_author as (select o_orderkey as work, o_custkey as author from orders),
+  r_author as (select o_orderkey as work, o_custkey as author from orders union select l_orderkey, l_suppkey from lineitem),
   c_part as (select p_partkey as work, p_brand as subfield, p_type as topic, cast(p_size % 10 as bigint) as source from part),
   c_ci as (select distinct l_partkey as work, country, inst from lineitem join nation_of on inst = l_suppkey),
   c_country as (select distinct work, country from c_ci)"""
@@ -369,9 +369,10 @@ def filter_keep_or(t):
     return filters.keep_authors(authors, candidates, Config(min_author_works=10, min_author_citations=1_000_000, fixed_authors=(1, 2, 3)))
 
 
-@query("select c_custkey as id from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey as id from customer where c_custkey not in (select o_custkey from orders where year(o_orderdate) >= 2001)")
 def filter_complement(t):
-    return filters.without(t.customer.select(F.col("c_custkey").alias("id")), t.orders.select("o_custkey"), "id")
+    late = t.orders.filter(F.year("o_orderdate") >= 2001)
+    return filters.without(t.customer.select(F.col("c_custkey").alias("id")), late.select("o_custkey"), "id")
 
 
 @query("select user_id, ts from events where year(ts) between (select max(year(ts)) from events) - 1 and (select max(year(ts)) from events) ")
@@ -662,9 +663,9 @@ def _search_sql(prefix: str) -> str:
   select rank, cast(min(partial) as int) as partial from q group by rank order by 2, 1 limit 16"""
 
 
-@query(_search_sql("ste"))
+@query(_search_sql("gea"))
 def search_prefix(t):
-    return search.search(part_index(t), "ste")
+    return search.search(part_index(t), "gea")
 
 
 @query(_search_sql("lue"))

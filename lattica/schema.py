@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 WORK = (
-    "id string, doi string, display_name string, publication_year int, type string, is_retracted boolean, referenced_works array<string>, "
+    "id string, doi string, display_name string, publication_year int, cited_by_count int, type string, is_retracted boolean, referenced_works array<string>, "
     "topics array<struct<id:string,score:double>>, locations array<struct<source:struct<id:string>>>, "
     "authorships array<struct<author:struct<id:string>,institutions:array<struct<id:string>>>>"
 )
