@@ -28,8 +28,14 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(first.alias("__first")).select(key, *[F.col(f"__first.{c}").alias(c) for c in others])
 
 
-def map_link(edges: DataFrame, src_ids: DataFrame, dst_ids: DataFrame, many: bool = False) -> DataFrame:
-    """External ends to dense ids: (src, dst). Unknown sources go; unknown targets are null for single links and go for many."""
+def map_link(edges: DataFrame, src_ids: DataFrame, dst_ids: DataFrame, many: bool = False, order: str | None = None) -> DataFrame:
+    """External ends to dense ids: (src, dst). Unknown sources go; unknown targets are null for single links and go for many.
+
+    A single link keeps a source's last row by ``order``, of equal ones that of the largest target.
+    """
+    if not many:
+        last = F.max(F.struct(*([order] if order else []), "dst")).alias("last")
+        edges = edges.groupBy("src").agg(last).select("src", F.col("last.dst").alias("dst"))
     mapped = edges.join(src_ids.select(F.col("key").alias("src"), F.col("id").alias("src_id")), "src")
     mapped = mapped.join(dst_ids.select(F.col("key").alias("dst"), F.col("id").alias("dst_id")), "dst", "inner" if many else "left")
     return mapped.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))

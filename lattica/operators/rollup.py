@@ -2,7 +2,7 @@
 
 Input tuples are (keys..., ref, cit). For every prefix of the keys the result has the number of distinct refs,
 of distinct (ref, cit) pairs, and the ref with most distinct cits (ties: the lowest ref). Two aggregations do it:
-the first counts cits per prefix and ref over grouping sets, the second sums and ranks refs per prefix.
+the first counts cits per prefix and ref, the second sums and ranks refs per prefix.
 """
 
 from __future__ import annotations
@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 
 def _per_ref(tuples: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
-    """One row per prefix and ref: depth, keys, ref, n distinct cits."""
-    sets = [[*keys[:d], *extra, "ref"] for d in range(len(keys) + 1)]
-    depth = sum((F.lit(1) - F.grouping(k) for k in keys), F.lit(0)).cast("int")
-    rows = tuples.select(*keys, *extra, "ref", "cit").distinct()
-    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*keys, *extra, "ref")]).agg(depth.alias("depth"), F.count_distinct("cit").alias("n"))
+    """One row per prefix and ref: depth, keys, ref, n distinct cits.
+
+    Tuples are shuffled once, by ref and cit; every prefix's distinct pairs are then found within the partition, and only their
+    counts are shuffled again.
+    """
+    rows = tuples.select(*keys, *extra, "ref", "cit").repartition("ref", "cit").distinct()
+    levels = rows.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in range(len(keys) + 1)])))
+    prefix = [F.when(F.col("depth") > d, F.col(k)).alias(k) for d, k in enumerate(keys)]
+    pairs = levels.select("depth", *prefix, *extra, "ref", "cit").distinct()
+    return pairs.groupBy("depth", *keys, *extra, "ref").agg(F.count("cit").alias("n"))
 
 
 def _per_prefix(per_ref: DataFrame, by: list[str]) -> DataFrame:

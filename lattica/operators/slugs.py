@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,36 +50,23 @@ def assign_slugs(rows: DataFrame) -> DataFrame:
     """(id, slug) from (id, works, candidates): in order of most works, then the higher id, each takes its first free candidate, else its
     last with the first free suffix, else ''. Without candidates: ''.
 
-    Only ids that share a candidate, or a suffixed form of one, can stand in each other's way. Such groups are found by
-    spreading the smallest id over shared forms, and each group is assigned in one task in that order.
+    Rounds of claims: every id claims its present form, the first in order holds it, all others go on to their next form;
+    a holder gives way to an earlier one that comes later. As every form prefers the same order, the rounds end where
+    assigning one id after the other would. A form's holder is a maximum, so a form that many want makes no large group.
     """
-    plain = rows.select("id", "works", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
-    forms = F.concat("candidates", F.transform(F.sequence(F.lit(1), F.lit(len(SUFFIXES))), lambda i: F.concat(F.element_at("candidates", -1), F.lit("-"), F.substring(F.lit(SUFFIXES), i, F.lit(1)))))
-    wanted = plain.filter(F.size("candidates") > 0).select("id", F.explode(F.array_distinct(forms)).alias("form"))
-    shared = wanted.join(wanted.groupBy("form").count().filter("count > 1").select("form"), "form", "left_semi")
     checkpoint_folder(rows.sparkSession)
-    group = shared.select("id").distinct().withColumn("group", F.col("id"))
+    none = F.array().cast("array<string>")
+    suffixed = F.transform(F.sequence(F.lit(1), F.lit(len(SUFFIXES))), lambda i: F.concat(F.element_at("candidates", -1), F.lit("-"), F.substring(F.lit(SUFFIXES), i, F.lit(1))))
+    forms = F.when(F.size("candidates") > 0, F.array_distinct(F.concat("candidates", suffixed))).otherwise(none)
+    state = rows.select("id", "works", F.coalesce("candidates", none).alias("candidates")).select("id", "works", forms.alias("forms"), F.lit(0).alias("at"))
     while True:
-        low = shared.join(group, "id").groupBy("form").agg(F.min("group").alias("group"))
-        following = shared.join(low, "form").groupBy("id").agg(F.min("group").alias("group")).checkpoint()
-        moved = following.join(group.withColumnRenamed("group", "was"), "id").filter("group <> was").limit(1).count()
-        group = following
-        if not moved:
-            break
-    alone = plain.join(group, "id", "left_anti").select("id", F.coalesce(F.get("candidates", 0), F.lit("")).alias("slug"))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        out = []
-        for row in pdf.sort_values(["works", "id"], ascending=False).itertuples():
-            options = [*row.candidates, *(f"{row.candidates[-1]}-{s}" for s in SUFFIXES)]
-            found = next((o for o in options if o not in taken), "")
-            taken.add(found)
-            out.append((row.id, found))
-        return pd.DataFrame(out, columns=["id", "slug"])
-
-    together = plain.join(group, "id").groupBy("group").applyInPandas(assign, "id long, slug string")
-    return alone.unionByName(together)
+        claims = state.filter(F.col("at") < F.size("forms")).select("id", "works", F.get("forms", F.col("at")).alias("form"))
+        holders = claims.groupBy("form").agg(F.max(F.struct("works", "id")).alias("best")).select(F.col("best.id").alias("id"), F.lit(True).alias("held"))
+        lost = F.col("held").isNull() & (F.col("at") < F.size("forms"))
+        state = state.join(holders, "id", "left").select("id", "works", "forms", (F.col("at") + lost.cast("int")).alias("at"), lost.alias("lost")).checkpoint()
+        if state.filter("lost").isEmpty():
+            return state.select("id", F.coalesce(F.get("forms", F.col("at")), F.lit("")).alias("slug"))
+        state = state.drop("lost")
 
 
 def distinct_names(rows: DataFrame) -> DataFrame:

@@ -45,14 +45,18 @@ def h_and_median(counts: DataFrame, by: list[str], standard: bool = False) -> Da
     h is the first place, counted from 0 in descending order, whose place exceeds its count, or the number of rows;
     so [1, 1] has 2 and [0] has 1. With ``standard`` it is the usual h-index. The upper median is the middle
     value of the ascending order, the later of two.
+
+    Equal counts of a group are added up first, so a window sees the distinct counts of a group and never its rows.
     """
-    whole = Window.partitionBy(*by)
-    rows = counts.select(*by, "c").withColumn("i", F.row_number().over(whole.orderBy(F.desc("c"))) - 1).withColumn("n", F.count("*").over(whole))
-    beyond = F.col("i") >= F.col("c") if standard else F.col("i") > F.col("c")
-    middle = F.col("i") == F.col("n") - 1 - F.floor(F.col("n") / 2)
+    group = Window.partitionBy(*by)
+    rows = counts.groupBy(*by, "c").agg(F.count("*").alias("m"))
+    rows = rows.withColumn("end", F.sum("m").over(group.orderBy(F.desc("c")))).withColumn("n", F.sum("m").over(group))
+    start = F.col("end") - F.col("m")
+    beyond = F.when(F.col("c").isNotNull(), F.greatest(start, F.col("c") if standard else F.col("c") + 1))
+    middle = F.col("n") - 1 - F.floor(F.col("n") / 2)
     return rows.groupBy(*by).agg(
-        F.coalesce(F.min(F.when(beyond, F.col("i"))), F.max("n")).cast("long").alias("h"),
-        F.max(F.when(middle, F.col("c"))).cast("long").alias("upper_median"),
+        F.coalesce(F.min(F.when(beyond < F.col("end"), beyond)), F.max("n")).cast("long").alias("h"),
+        F.max(F.when((start <= middle) & (middle < F.col("end")), F.col("c"))).cast("long").alias("upper_median"),
     )
 
 
@@ -106,15 +110,35 @@ def institution_relations(rows: DataFrame, n: int = 8) -> DataFrame:
     return top_n(found, ["entity"], [F.desc("papers"), span.desc(), F.col("inst")], n)
 
 
-def cooccurrence(rows: DataFrame) -> DataFrame:
+def country_institutions(country_works: DataFrame, work_institutions: DataFrame, countries: DataFrame) -> DataFrame:
+    """(entity, work, inst): of a country's works, the institutions in that country only; countries has inst, country."""
+    at_home = work_institutions.join(countries, "inst").select("work", "inst", F.col("country").alias("entity"))
+    return country_works.join(at_home, ["entity", "work"]).select("entity", "work", "inst")
+
+
+def author_institutions(author_works: DataFrame, affiliations: DataFrame) -> DataFrame:
+    """(entity, work, inst): of an author's works, the institutions of that author only; affiliations has work, author, inst."""
+    own = affiliations.select(F.col("author").alias("entity"), "work", "inst")
+    return author_works.join(own, ["entity", "work"]).select("entity", "work", "inst")
+
+
+def cooccurrence(rows: DataFrame, most_items: int = 1000) -> DataFrame:
     """(a, b, n): in how many groups the items a < b occur together, from (group, item).
 
-    Items are first made distinct within groups and listed once a group; pairs come from the lists and are
-    counted before they are shuffled.
+    Items are first made distinct within groups. A group of over ``most_items`` is dealt to blocks of about so many, and each
+    pair of blocks is a row of its own, so no task holds the pairs of a whole group. Pairs are counted before they are shuffled.
     """
-    lists = rows.filter("item is not null").distinct().groupBy("group").agg(F.sort_array(F.collect_list("item")).alias("items")).filter(F.size("items") > 1)
-    firsts = lists.select(F.posexplode("items").alias("at", "a"), "items")
-    pairs = firsts.select("a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("b"))
+    items = rows.filter("item is not null").distinct()
+    blocks = items.groupBy(F.col("group").alias("of")).agg(F.ceil(F.count("*") / most_items).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    own = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
+    dealt = items.join(blocks, F.col("group").eqNullSafe(F.col("of"))).select("group", "item", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    ends = dealt.select("group", "item", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    lists = ends.groupBy("group", "low", "high").agg(
+        F.sort_array(F.collect_list(F.when(F.col("own") == F.col("low"), F.col("item")))).alias("left"), F.collect_list(F.when(F.col("own") > F.col("low"), F.col("item"))).alias("right")
+    )
+    firsts = lists.select(F.posexplode("left").alias("at", "x"), "left", "right", (F.col("low") == F.col("high")).alias("same"))
+    partners = F.when(F.col("same"), F.slice("left", F.col("at") + 2, F.size("left"))).otherwise(F.col("right"))
+    pairs = firsts.select("x", F.explode(partners).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 

@@ -99,3 +99,21 @@ def entity_statistics(graph: Graph, config: Config) -> dict[str, DataFrame]:
         cited_per_year = stats.yearly(cited, config.final_year, config.era_years).withColumnRenamed("series", "citations_yearly")
         out[kind] = papers.join(cites, "entity", "left").join(per_year, "entity", "left").join(cited_per_year, "entity", "left").fillna(0, ["citations"])
     return out
+
+
+def entity_relations(graph: Graph, config: Config) -> dict[str, DataFrame]:
+    """(entity, inst, papers, citations, first_year, last_year, rank) for every kind of root; countries and authors have their own institutions only."""
+    inst, affiliations = graph.tables["r", "inst"], graph.tables["r", "author_inst"]
+    cited = stats.citing_counts(graph.citing.select(F.col("ref").alias("work")))
+    years = graph.years.select(F.col("ref").alias("work"), "year")
+    out = {}
+    for kind, works in graph.roots.items():
+        if kind == "countries":
+            rows = stats.country_institutions(works, inst, graph.tables["r", "inst_country"])
+        elif kind == "authors":
+            rows = stats.author_institutions(works, affiliations)
+        else:
+            rows = works.join(inst, "work").select("entity", "work", "inst")
+        rows = rows.join(years, "work").join(cited, "work", "left").fillna(0, ["citations"])
+        out[kind] = stats.institution_relations(rows, config.top_relations)
+    return out

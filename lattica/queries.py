@@ -584,9 +584,22 @@ def smallest_distinct(t):
     return ranking.smallest_distinct(t.part.select(F.col("p_size").alias("size")), "size")
 
 
-@query("select coalesce(c.k, s.k) as id, case when c.k is null then 'right' when s.k is null then 'left' else 'both' end as side from (select distinct c_nationkey as k from customer where c_custkey < 40) c full join (select distinct s_nationkey as k from supplier where s_suppkey < 12) s on c.k = s.k")
+@query("select coalesce(c.k, o.k) as id, case when c.k is null then 'right' when o.k is null then 'left' else 'both' end as side from (select c_custkey as k from customer where c_acctbal > 0) c full join (select distinct o_custkey as k from orders where o_orderpriority = '1-URGENT') o on c.k = o.k")
 def merge_sides(t):
-    return ranking.merge_sides(t.customer.filter("c_custkey < 40").select(F.col("c_nationkey").alias("id")), t.supplier.filter("s_suppkey < 12").select(F.col("s_nationkey").alias("id")))
+    """All customers in credit against all with an urgent order."""
+    return ranking.merge_sides(t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("id")), t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")))
+
+
+@query("select o_custkey as id from orders where year(o_orderdate) = 1995 union select o_custkey from orders where year(o_orderdate) = 1999")
+def union_ids(t):
+    buyers = lambda year: t.orders.filter(F.year("o_orderdate") == year).select(F.col("o_custkey").alias("id"))
+    return ranking.union_ids(buyers(1995), buyers(1999))
+
+
+@query("select o_custkey as id from orders where year(o_orderdate) = 1995 except select o_custkey from orders where year(o_orderdate) = 1999")
+def difference_ids(t):
+    buyers = lambda year: t.orders.filter(F.year("o_orderdate") == year).select(F.col("o_custkey").alias("id"))
+    return ranking.difference_ids(buyers(1995), buyers(1999))
 
 
 @query("select coalesce(o.k, l.k) as id, case when o.k is null then 'right' when l.k is null then 'left' else 'both' end as side from (select distinct cast(o_orderdate as date) as k from orders) o full join (select distinct cast(l_shipdate as date) as k from lineitem) l on o.k = l.k")
@@ -614,6 +627,101 @@ def tree_labels(t):
     return labels.attach(nodes, ["k1"], {0: names}).select("depth", "k1", "label")
 
 
+@query("select c_custkey as id, cast(c_nationkey as bigint) as nation, n_name as nation_key from customer left join nation on n_nationkey = c_nationkey and n_regionkey > 0")
+def external_ids(t):
+    ids = t.nation.filter("n_regionkey > 0").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("key"))
+    return labels.external_ids(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("nation")), ids, "nation")
+
+
+# --- links of records ------------------------------------------------------------------------------------------------
+
+
+@query("select src, s_suppkey as dst from (select l_orderkey as src, max(l_linenumber * 1000000000::bigint + l_suppkey) % 1000000000 as k from lineitem group by 1) left join supplier on s_suppkey = k and s_acctbal > 2000")
+def link_single(t):
+    """The last supplier listed for an order; suppliers of little credit are unknown."""
+    edges = t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_linenumber").alias("place"))
+    orders = t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").alias("id"))
+    return links.map_link(edges, orders, t.supplier.filter("s_acctbal > 2000").select(F.col("s_suppkey").alias("key"), F.col("s_suppkey").alias("id")), order="place")
+
+
+@query("select p_partkey as src, unnest(string_split(p_name, ' ')) as dst from part")
+def authorship_institutions(t):
+    ships = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("work"), F.col("p_brand").alias("author"), F.replace("p_name", F.lit(" "), F.lit(";")).alias("institutions"))
+    return links.authorship_links(ships)[1]
+
+
+@query("select cast(s_nationkey as bigint) as source, cast(year(l_shipdate) as bigint) as year, cast(min(l_linenumber) as bigint) as q from lineitem join supplier on s_suppkey = l_suppkey group by all")
+def source_quartiles(t):
+    rows = t.lineitem.select(F.col("l_suppkey").alias("id"), F.year("l_shipdate").alias("publication_year"), F.col("l_linenumber").alias("best_q"))
+    ids = t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("id"))
+    return links.source_quartiles(rows, ids).select(*i64("source", "year", "q"))
+
+
+_ISSN = "pairs as (select distinct id, issn from (select p_partkey as id, unnest(string_split(p_name, ' ')) as issn from part union all select p_partkey, p_brand from part))"
+
+
+def issn_rows(t):
+    return links.issn_pairs(t.part.select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("issn"), F.col("p_brand").alias("issn_l")))
+
+
+@query(f"with {_ISSN} select * from pairs")
+def issn_pairs(t):
+    return issn_rows(t)
+
+
+@query(f"with {_ISSN} select distinct id, area from pairs join (select p_brand as issn, p_type as area from part) using (issn)")
+def issn_areas(t):
+    return links.issn_join(issn_rows(t), t.part.select(F.col("p_brand").alias("issn"), F.col("p_type").alias("area")))
+
+
+_HOMES = """base as (select distinct cast(n_regionkey as bigint) as k1, cast(n_nationkey as bigint) as k2, l_orderkey as ref, l_partkey as cit
+  from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey)"""
+
+
+@query(rollup_sql(["k1", "k2"], _HOMES, select="select * from tree where depth = 1"))
+def tree_sum_of_children(t):
+    """An order has one customer, so regions are the sums of their nations."""
+    homes = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
+    tuples = homes.select(F.col("n_regionkey").cast("long").alias("k1"), F.col("n_nationkey").cast("long").alias("k2"), F.col("o_orderkey").alias("ref"), F.col("l_partkey").alias("cit"))
+    return rollup.sum_of_children(rollup.rollup(tuples, ["k1", "k2"]), ["k1", "k2"], 1)
+
+
+@query(f"with {_CUST} select c.id, papers, citations from c join customer on c_custkey = c.id where papers >= 2 and citations >= 3 and papers < 12")
+def searchable(t):
+    rows = customers(t).join(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id").withColumn("slug", F.lower("name"))
+    return filters.searchable(rows, most_papers=12).select("id", "papers", "citations")
+
+
+@query("select o_custkey as entity, min(case when year(o_orderdate) between 1997 and 2001 then cast(year(o_orderdate) as int) end) as first_year from orders group by 1")
+def first_active_year(t):
+    series = stats.yearly(t.orders.select(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("year")), 2001, 5)
+    return series.select("entity", C.first_active_year(F.col("series"), 1997).alias("first_year"))
+
+
+_TOP8 = "k as (select *, row_number() over (partition by entity order by papers desc, last_year - first_year desc, inst) as rank from r) select * from k where rank <= 8"
+_R_OF = "r as (select entity, inst, count(*) as papers, cast(sum(c) as bigint) as citations, min(y) as first_year, max(y) as last_year from e join (select l_orderkey, count(*) as c from lineitem group by all) k on k.l_orderkey = work group by all)"
+
+
+def top_institutions(t, rows):
+    years = t.orders.select(F.col("o_orderkey").alias("work"), F.year("o_orderdate").cast("long").alias("year"))
+    return stats.institution_relations(rows.join(years, "work").join(stats.citing_counts(order_parts(t)), "work")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"with e as (select distinct cast(s_nationkey as bigint) as entity, o_orderkey as work, l_suppkey as inst, year(o_orderdate) as y from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey = l_suppkey), {_R_OF}, {_TOP8}")
+def country_relations(t):
+    """A nation's orders with the suppliers of that nation alone."""
+    home = t.supplier.select(F.col("s_suppkey").alias("inst"), F.col("s_nationkey").cast("long").alias("country"))
+    works = t.lineitem.select(F.col("l_orderkey").alias("work"), F.col("l_suppkey").alias("inst")).distinct()
+    return top_institutions(t, stats.country_institutions(works.join(home, "inst").select(F.col("country").alias("entity"), "work").distinct(), works, home))
+
+
+@query(f"with e as (select o_custkey as entity, o_orderkey as work, l_suppkey as inst, year(o_orderdate) as y from lineitem join orders on o_orderkey = l_orderkey where l_linenumber = 1), {_R_OF}, {_TOP8}")
+def author_relations(t):
+    """A customer's orders with the suppliers of the first line alone, as if only those were the customer's own; repeats count."""
+    own = t.lineitem.filter("l_linenumber = 1").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("work"), F.col("o_custkey").alias("author"), F.col("l_suppkey").alias("inst"))
+    return top_institutions(t, stats.author_institutions(customer_orders(t), own))
+
+
 # --- names, slugs, search ----------------------------------------------------------------------------------------------------
 
 _SLUG = "array_to_string([x for x in string_split(regexp_replace(lower({0}), '[^a-z ]', '', 'g'), ' ') if x <> ''], '-')"
@@ -631,6 +739,17 @@ def slug_unique(t):
     return slugs.unique_slugs(t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("works"), C.slug(F.col("p_name")).alias("slug")))
 
 
+@query(f"""with recursive o as (select row_number() over (order by p_size desc, p_partkey desc) as k, p_partkey as id,
+    [string_split(p_name, ' ')[1], {_SLUG.format("p_name")}, lower(p_brand), 'part-' || p_partkey] as c from part),
+  g as (select cast(0 as bigint) as k, cast(0 as bigint) as id, '' as slug, cast([] as varchar[]) as taken
+        union all select k, id, slug, list_append(taken, slug) from (select o.k, o.id, g.taken, [x for x in o.c if not list_contains(g.taken, x)][1] as slug from g join o on o.k = g.k + 1))
+  select id, slug from g where k > 0""")
+def slug_greedy(t):
+    """The last candidate is free for everyone here; tests cover the suffixes."""
+    candidates = F.array(F.split("p_name", " ")[0], C.slug(F.col("p_name")), F.lower("p_brand"), F.concat(F.lit("part-"), F.col("p_partkey")))
+    return slugs.assign_slugs(t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("works"), candidates.alias("candidates")))
+
+
 _NAMED = "n as (select p_partkey as id, p_name as name, p_brand as country, p_type as city from part)"
 
 
@@ -709,3 +828,13 @@ def export_filtered(t):
 @query("select o_orderkey as id, cast(case when year(o_orderdate) >= 2001 then 5 when year(o_orderdate) >= 2000 then 4 when year(o_orderdate) >= 1999 then 3 when year(o_orderdate) >= 1998 then 2 when year(o_orderdate) >= 1997 then 1 else 0 end as int) as period, case p_q when 1 then 'Q1' when 2 then 'Q2' when 3 then 'Q3' when 4 then 'Q4' else 'Uncategorized' end as label from (select *, o_orderkey % 6 as p_q from orders)")
 def period_and_quartile(t):
     return t.orders.select(F.col("o_orderkey").alias("id"), C.period(F.year("o_orderdate"), YEARS).alias("period"), C.quartile_label(F.col("o_orderkey") % 6).alias("label"))
+
+
+@query("""with w as (select l_orderkey as id from lineitem group by 1 having count(*) >= 2 and bool_or(l_suppkey in (1, 2, 3) and l_quantity / 50e0 > 0.7e0))
+  select cast(l_orderkey as varchar) as id, cast(l_suppkey as varchar) as topic, l_quantity / 50e0 as score from lineitem where l_orderkey in (select id from w)""")
+def topic_export(t):
+    from .sources.records import topic_export as export
+
+    topic = F.struct(F.col("l_suppkey").cast("string").alias("id"), (F.col("l_quantity") / 50).alias("score"))
+    lists = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.collect_list(topic).alias("topics"), F.collect_list(F.col("l_partkey").cast("string")).alias("referenced_works"), F.count("*").alias("cited_by_count"))
+    return export(lists.withColumn("display_name", F.lit("")).withColumn("publication_year", F.lit(0)), ["1", "2", "3"])[2]

@@ -117,6 +117,19 @@ def test_degree_filter(spark):
     assert ids(filters.degree_filter(edges, least=2, most=2, targets=targets)) == [1, 4]
 
 
+def test_cooccurrence_in_blocks(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.randrange(40)) for g in (1, 2, None) for _ in range(60)] + [(3, 5), (3, None), (4, 1), (4, 2), (4, 2)]
+    frame = spark.createDataFrame(rows, "group int, item int")
+    wanted = {}
+    for group in {g for g, _ in rows}:
+        items = sorted({i for g, i in rows if g == group and i is not None})
+        for a, b in ((a, b) for a in items for b in items if a < b):
+            wanted[a, b] = wanted.get((a, b), 0) + 1
+    for most in (7, 1000):
+        assert {(r.a, r.b): r.n for r in stats.cooccurrence(frame, most).collect()} == wanted
+
+
 def test_names(spark):
     one = lambda c, v: spark.createDataFrame([(v,)], "s string").select(c(F.col("s"))).first()[0]
     assert one(C.slug, "  Université de Genève (CH)  2nd ") == "universite-de-geneve-ch-nd"
