@@ -250,6 +250,11 @@ def test_build_from_records_to_trees(spark, tmp_path):
         assert 1 <= trees.pruned_tree(graph, kind, entity).count() <= trees.tree(graph, kind, entity).count()
     stat = build.entity_statistics(graph, config)["authors"].filter("entity = 1").first()
     assert (stat.papers, stat.citations, sum(stat.papers_yearly), stat.citations_yearly[2018 - 2015]) == (2, 3, 2, 2)
+    related = {kind: {(r.entity, r.inst): r.papers for r in rows.collect()} for kind, rows in build.entity_relations(graph, config).items()}
+    links = lambda name: [r for r in graph.tables["r", name].collect() if None not in r]
+    assert set(related["authors"]) == {(r.author, r.inst) for r in links("author_inst")}
+    assert set(related["countries"]) == {(r.country, r.inst) for r in links("country_inst")}
+    assert len(related["institutions"]) > 0 and all(related["institutions"][i, j] == related["institutions"][j, i] for i, j in related["institutions"])
 
 
 def test_service(spark):
