@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
 
-def dense_ids(rows: DataFrame, key: str, blocks: int = 64) -> DataFrame:
-    """(key, id): ids 1..n over the distinct non-null keys, in key order.
 
-    Keys are range-partitioned; each partition numbers its own keys after the keys of the partitions before it, so no task sees
-    them all.
-    """
-    ordered = rows.select(key).filter(F.col(key).isNotNull()).distinct().repartitionByRange(blocks, key).sortWithinPartitions(key)
-    placed = ordered.withColumn("part", F.spark_partition_id())
-    n = placed.groupBy("part").count()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = n.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy(key))
-    return placed.withColumn("nth", nth).join(F.broadcast(offsets), "part").select(key, (F.col("nth") + F.col("offset")).cast("long").alias("id"))
+def dense_ids(rows: DataFrame, key: str, blocks: int = 64) -> DataFrame:
+    """(key, id): ids 1..n over the distinct non-null keys, in key order; no task sees all keys."""
+    return numbered(rows.select(key).filter(F.col(key).isNotNull()).distinct(), [F.col(key)], "id", 1, blocks)
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import checkpoint_folder
 
 
 def _prefixed(rows: DataFrame, keys: list[str], *others) -> DataFrame:

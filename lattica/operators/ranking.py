@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str, start: int = 0, blocks: int = 64) -> DataFrame:
+    """The rows with their place in ``order`` as a long column ``name``, from ``start`` on.
+
+    One range exchange; each partition is sorted and counts its own rows as it is written. The written table fixes which row lies in
+    which partition, so the offsets, a sum over at most ``blocks`` partitions' sizes, belong to the very same rows. Rows that are equal
+    in all of ``order`` get places next to each other, in no set order. A column of the name is replaced; an empty table stays empty.
+    """
+    part, nth = free_names(rows, "part", "nth")
+    placed = rows.drop(name).repartitionByRange(blocks, *order).sortWithinPartitions(*order).withColumn(nth, F.monotonically_increasing_id())
+    placed = written(placed.withColumn(part, F.shiftright(nth, 33)).withColumn(nth, F.col(nth).bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    offsets = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    (offset,) = free_names(rows, "offset")
+    out = placed.join(F.broadcast(offsets.withColumnRenamed("offset", offset)), part)
+    return out.withColumn(name, (F.col(nth) + F.col(offset) + F.lit(start)).cast("long")).drop(part, nth, offset)
+
+
+def free_names(rows: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as long as the rows have such a column (in any case of letters)."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
 
 def ranked(rows: DataFrame, by: str = "citations", id_col: str = "id", blocks: int = 64) -> DataFrame:
-    """Adds ``rank`` from 0: most first, then the lower id. Partitions by range number their own rows, so no task sorts all."""
-    order = [F.desc(by), F.col(id_col)]
-    placed = rows.repartitionByRange(blocks, *order).withColumn("__part", F.spark_partition_id())
-    sizes = placed.groupBy("__part").count()
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
-    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    out = placed.withColumn("__nth", nth).join(F.broadcast(offsets), "__part")
-    return out.withColumn("rank", (F.col("__nth") + F.col("__offset") - 1).cast("long")).drop("__part", "__nth", "__offset")
+    """Adds ``rank`` from 0: most first (nulls last), then the lower id. The rows are written once in rank order."""
+    return numbered(rows, [F.desc(by), F.col(id_col)], "rank", 0, blocks)
 
 
 def page(rows: DataFrame, start: int, end: int, n: int | None = None, most: int = 1000) -> DataFrame:

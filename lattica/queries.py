@@ -564,6 +564,17 @@ def rank_slice(t):
     return ranking.page(ranks, 20, 70)
 
 
+@query("select l_orderkey * 16 + l_linenumber as id, l_suppkey as supplier, l_shipmode as mode, row_number() over (order by l_extendedprice desc, l_orderkey * 16 + l_linenumber) - 1 as rank from lineitem")
+def rank_lines(t):
+    rows = t.lineitem.select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("supplier"), F.col("l_shipmode").alias("mode"), "l_extendedprice")
+    return ranking.ranked(rows, "l_extendedprice").drop("l_extendedprice")
+
+
+@query("select link, row_number() over (order by link) as id from (select distinct l_orderkey || '-' || l_partkey as link from lineitem)")
+def dense_ids_links(t):
+    return links.dense_ids(t.lineitem.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("link")), "link")
+
+
 @query("select 'customers' as entity, count(*) as n from customer union all select 'suppliers', count(*) from supplier union all select 'parts', count(*) from part")
 def entity_counts(t):
     return ranking.entity_counts(customers=t.customer, suppliers=t.supplier, parts=t.part)
