@@ -564,9 +564,9 @@ def rank_slice(t):
     return ranking.page(ranks, 20, 70)
 
 
-@query("select l_orderkey * 16 + l_linenumber as id, l_suppkey as supplier, l_shipmode as mode, row_number() over (order by l_extendedprice desc, l_orderkey * 16 + l_linenumber) - 1 as rank from lineitem")
+@query("select l_orderkey * 16 + l_linenumber as id, l_suppkey as supplier, l_returnflag as flag, row_number() over (order by l_extendedprice desc, l_orderkey * 16 + l_linenumber) - 1 as rank from lineitem")
 def rank_lines(t):
-    rows = t.lineitem.select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("supplier"), F.col("l_shipmode").alias("mode"), "l_extendedprice")
+    rows = t.lineitem.select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("supplier"), F.col("l_returnflag").alias("flag"), "l_extendedprice")
     return ranking.ranked(rows, "l_extendedprice").drop("l_extendedprice")
 
 
