@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, embedding, importance, licenses, packing, secrets, sharding, simhash, warc
+from . import brown, decontaminate, embedding, exact_dedup, fill_in_middle, importance, licenses, packing, secrets, sharding, simhash, target_sampling, warc
 from ._common import table
 
 
@@ -94,6 +94,24 @@ def op10_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = target_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op7_license_scan": op7_license_scan,
@@ -105,6 +123,9 @@ QUERIES = {
     "op9_chunked_warc": op9_chunked_warc,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op10_best_fit_sharding": op10_best_fit_sharding,
+    "op11_target_resampling": op11_target_resampling,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -116,4 +137,40 @@ ORACLE_SQL: dict[str, str] = {
                case when payload_bytes >= 1000 and page_id <> owner then owner end as refers_to
         from o
     """,
+    # crc32 bit by bit over the distinct words' bytes
+    "op11_target_resampling": r"""
+        with low as (select 0 as side, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+            union all select 1, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+        found as (select side, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from low),
+        uses as (select side, doc_id, unnest(ws) as w from found),
+        hexed as (select w, hex(w) as hx from (select distinct w from uses)),
+        bits as (select w, list_transform(range(0, 4 * length(hx)), lambda k: (cast('0x' || substr(hx, 2 * (k // 8) + 1, 2) as bigint) >> (k % 8)) & 1) as bs from hexed),
+        coded as (select w, xor(list_reduce(list_concat([4294967295::bigint], bs), lambda a, b: case when xor(a, b) & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295) % 10000 as bucket from bits),
+        per_bucket as (select bucket, cast(sum(1 - side) as double) as s, cast(sum(side) as double) as t from uses join coded using (w) group by bucket),
+        gain as (select bucket, cast(floor(1000 * ln((t + 1) * (sum(s) over () + 10000) / ((s + 1) * (sum(t) over () + 10000)))) as bigint) as gain from per_bucket),
+        weights as (select doc_id, cast(floor(sum(gain) / cast(count(*) as double)) as bigint) as weight from uses join coded using (w) join gain using (bucket) where side = 0 group by doc_id),
+        scored as (select f.doc_id, cast(len(ws) as bigint) as n_features, coalesce(weight, 0) as weight,
+            coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || f.doc_id), 1, 8) as bigint) + 0.5e0) / 4294967296e0))) as bigint) as score
+            from found f left join weights w on w.doc_id = f.doc_id where f.side = 0),
+        placed as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place, count(*) filter (where n_features >= 20) over () as n from scored)
+        select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * n // 100 then place end as rank from placed
+    """,
+    "op12_exact_dedup": r"""
+        with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm, length(coalesce(text, '')) as chars from documents)
+        select doc_id, first_value(doc_id) over best as keep_id, count(*) over (partition by norm) as group_size,
+               doc_id = first_value(doc_id) over best as kept, sha256(norm) as text_sha256
+        from n window best as (partition by norm order by chars desc, doc_id)
+    """,
+    "op13_fill_in_middle": r"""
+        with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || doc_id) as h from documents),
+        u as (select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as lines, cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+                     cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from d),
+        c as (select *, len(lines) as n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) as b,
+                     case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+        p as (select *, case when a = 0 then '' else array_to_string(lines[1:a], '') end as pre, case when a = b then '' else array_to_string(lines[a + 1:b], '') end as mid,
+                     case when b = n then '' else array_to_string(lines[b + 1:n], '') end as suf from c)
+        select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+               sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+               sha256(t) as restored_sha256 from p
+    """,
 }
