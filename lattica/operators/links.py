@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .ranking import numbered
 
 
-def dense_ids(rows: DataFrame, key: str, blocks: int = 64) -> DataFrame:
+def dense_ids(rows: DataFrame, key: str, blocks: int | None = None) -> DataFrame:
     """(key, id): ids 1..n over the distinct non-null keys, in key order; no task sees all keys."""
     return numbered(rows.select(key).filter(F.col(key).isNotNull()).distinct(), [F.col(key)], "id", 1, blocks)
 

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str, start: int = 0, blocks: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], name: str, start: int = 0, blocks: int | None = None) -> DataFrame:
     """The rows with their place in ``order`` as a long column ``name``, from ``start`` on.
 
     One range exchange; each partition is sorted and counts its own rows as it is written. The written table fixes which row lies in
-    which partition, so the offsets, a sum over at most ``blocks`` partitions' sizes, belong to the very same rows. Rows that are equal
-    in all of ``order`` get places next to each other, in no set order. A column of the name is replaced; an empty table stays empty.
+    which partition, so the offsets, a sum over the sizes of ``blocks`` partitions (the session's number of shuffle partitions), belong to
+    the very same rows. Rows that are equal in all of ``order`` get places next to each other, in no set order. A column of the name is
+    replaced; an empty table stays empty.
     """
+    blocks = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part, nth = free_names(rows, "part", "nth")
     placed = rows.drop(name).repartitionByRange(blocks, *order).sortWithinPartitions(*order).withColumn(nth, F.monotonically_increasing_id())
     placed = written(placed.withColumn(part, F.shiftright(nth, 33)).withColumn(nth, F.col(nth).bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
@@ -36,7 +38,7 @@ def free_names(rows: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def ranked(rows: DataFrame, by: str = "citations", id_col: str = "id", blocks: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, by: str = "citations", id_col: str = "id", blocks: int | None = None) -> DataFrame:
     """Adds ``rank`` from 0: most first (nulls last), then the lower id. The rows are written once in rank order."""
     return numbered(rows, [F.desc(by), F.col(id_col)], "rank", 0, blocks)
 

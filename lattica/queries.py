@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import filters, labels, links, prune, ranking, rollup, search, similar, slugs, stats
 from .plans import trees
+from .scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -558,6 +559,31 @@ def knn(t):
     return near.select("id", F.round("distance", 7).alias("distance"))
 
 
+def customer_plane(t: Tables) -> DataFrame:
+    """Features to nine digits, so that both engines compare the same numbers."""
+    return written(similar.standardized(customers(t)).select("id", F.round("f1", 9).alias("f1"), F.round("f2", 9).alias("f2")), "plane")
+
+
+_PLANE = f"""{_Z}, pl as (select id, round(f1, 9) as f1, round(f2, 9) as f2 from z),
+  d as (select a.id, b.id as other, (b.f1 - a.f1) * (b.f1 - a.f1) + (b.f2 - a.f2) * (b.f2 - a.f2) as d from pl a, pl b),
+  k as (select *, row_number() over (partition by id order by d, other) as place from d qualify place <= least((select count(*) from pl) // 20, 500))"""
+
+
+@query(f"with {_PLANE} select id, count(*) as n_pool, sha256(string_agg(cast(other as varchar), ',' order by place)) as pool_sha256, round(sqrt(max(d)), 9) as farthest from k group by id")
+def knn_pools(t):
+    plane = customer_plane(t)
+    pooled = similar.with_pools(plane, similar.neighbour_pools(plane, similar.neighbourhood_size(plane.count())))
+    ids = F.array_join(F.transform("near", lambda x: x["id"].cast("string")), ",")
+    return pooled.select("id", F.size("near").cast("long").alias("n_pool"), F.sha2(ids, 256).alias("pool_sha256"), F.round(F.sqrt(F.element_at("near", -1)["square"]), 9).alias("farthest"))
+
+
+@query(f"with {_PLANE}, s as (select id, other, row_number() over (partition by id order by md5('7:' || id || ':' || other)) as draw from k qualify draw <= 8) select id, other as related from s where other <> id")
+def similar_entities(t):
+    plane = customer_plane(t)
+    found = similar.similar_entities(plane, similar.neighbourhood_size(plane.count()), 8, seed=7)
+    return found.select("id", F.explode("similar").alias("related"))
+
+
 @query(f"with {_CUST}, r as (select *, row_number() over (order by citations desc, id) - 1 as rank from c) select * from r where rank >= 20 and rank < 70")
 def rank_slice(t):
     ranks = ranking.ranked(customers(t)).select("id", "papers", "citations", "rank")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import links, ranking
 
-N = 300_000
+N = 300_000  # rows of the tables below, in 40 blocks
 
 
 @pytest.fixture()
@@ -26,7 +26,7 @@ def entities(spark, n):
 
 
 def test_ranks_of_a_large_table(no_reuse, tmp_path):
-    got = stored(ranking.ranked(entities(no_reuse, N)), tmp_path / "r")
+    got = stored(ranking.ranked(entities(no_reuse, N), blocks=40), tmp_path / "r")
     assert got.columns == ["id", "citations", "name", "part", "nth", "rank"]
     found = got.select("citations", "id", "name", "rank").toPandas()
     assert sorted(found["rank"]) == list(range(N))
@@ -38,7 +38,7 @@ def test_ranks_of_a_large_table(no_reuse, tmp_path):
 
 def test_ids_of_many_keys(no_reuse, tmp_path):
     rows = entities(no_reuse, N).select("name").unionByName(entities(no_reuse, N // 3).select("name"))
-    found = stored(links.dense_ids(rows, "name"), tmp_path / "i").toPandas().sort_values("id")
+    found = stored(links.dense_ids(rows, "name", blocks=40), tmp_path / "i").toPandas().sort_values("id")
     assert found["id"].tolist() == list(range(1, N + 1))
     assert found["name"].is_monotonic_increasing
 
