@@ -6,6 +6,7 @@ link, a supplier an institution in its nation, a customer an author, an order's
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .operators import filters, labels, links, prune, ranking, rollup, search, similar, slugs, stats
 from .plans import trees
-from .scratch import written
+from .scratch import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -842,6 +843,38 @@ def search_empty(t):
     return search.search(part_index(t), "")
 
 
+_URL = "regexp_replace(url, '[^a-z]+', ' ', 'g')"
+#: Queries made of the words of the addresses: a word, its beginning, its inside, one letter, two and three words, and one of letters and words.
+_ASKED = ["split(n, ' ')[1]", "substring(split(n, ' ')[1], 1, 3)", "substring(split(n, ' ')[1], 3, 4)", "substring(split(n, ' ')[1], 2, 1)", "concat(split(n, ' ')[1], ' ', substring(split(n, ' ')[3], 1, 2))", "concat('ex ', substring(split(n, ' ')[1], 2, 5), ' ht')", "concat(substring(split(n, ' ')[1], 1, 1), ' ', split(n, ' ')[2], ' c')"]
+_ASKED_SQL = " union ".join("select " + re.sub(r"split\(n, ' '\)\[(\d)\]", lambda m: f"string_split(n, ' ')[{int(m[1]) + 1}]", a) + " as q from u" for a in _ASKED)
+
+
+@query(f"""with u as (select {_URL} as n, row_number() over (order by page_id) - 1 as rank from pages),
+  names as (select rank, [x for x in string_split(n, ' ') if x <> ''] as words from u),
+  w as (select distinct rank, unnest(words) as token from names), e as (select distinct rank, token[k:] as token from w, range(2, 60) r(k) where k < length(token)),
+  asked as (select q, [x for x in string_split(q, ' ') if x <> ''] as ws from ({_ASKED_SQL})),
+  qw as (select q, least(len(ws), 3) as n, i, ws[i] as word from asked, range(1, 4) r(i) where i <= len(ws)),
+  found as (select word, rank, min(partial) as partial, min(more) as more, min(case when narrow then partial end) as narrowed from (
+      select word, rank, case when token = word then 0 else 1 end as partial, 0 as more, true as narrow from (select distinct word from qw where length(word) > 1) join w on starts_with(token, word)
+      union all select word, rank, 1, 2, true from (select distinct word from qw where length(word) > 1) join w on length(token) > 1 and starts_with(word, token)
+      union all select word, rank, 1, 1, true from (select distinct word from qw where length(word) > 1) join e on left(token, 2) = left(word, 2) and (starts_with(token, word) or starts_with(word, token))
+      union all select word, rank, 0, 0, true from (select word, rank from (select distinct word, rank from qw join w on starts_with(token, word) where length(word) = 1) qualify row_number() over (partition by word order by rank) <= 16)
+      union all select word, rank, 1, 1, true from (select word, rank from (select distinct word, rank from qw join e on starts_with(token, word) where length(word) = 1) qualify row_number() over (partition by word order by rank) <= 16)) group by word, rank),
+  single as (select q, rank, partial, more, count(*) filter (where more = 0) over (partition by q) as begun from qw join found using (word) where n = 1 and more < 2),
+  several as (select a.q, a.rank, coalesce(c.narrowed, b.narrowed) as partial from (select q, n, rank from qw join found using (word) where i = 1 and n > 1 and more < 2) a
+      join (select q, rank, narrowed from qw join found using (word) where i = 2) b on b.q = a.q and b.rank = a.rank
+      left join (select q, rank, narrowed from qw join found using (word) where i = 3) c on c.q = a.q and c.rank = a.rank where a.n = 2 or c.rank is not null),
+  every as (select q, rank, partial from single where more = 0 or begun < 16 union all select q, rank, partial from several
+      union all select q, rank, 0 from asked, (select rank from names where len(words) > 0 order by rank limit 16) where len(ws) = 0)
+  select q as query, cast(row_number() over (partition by q order by partial, rank) as int) as place, rank, cast(partial as int) as partial from every qualify row_number() over (partition by q order by partial, rank) <= 16""")
+def search_many(t):
+    folder = new_folder(t.spark, "index")
+    search.store_index(ranking.numbered(t.pages.select("page_id", F.regexp_replace("url", "[^a-z]+", " ").alias("name")), [F.col("page_id")], "rank"), folder)
+    words = t.pages.select(F.regexp_replace("url", "[^a-z]+", " ").alias("n"))
+    asked = words.select(F.explode(F.array(*[F.expr(a) for a in _ASKED])).alias("query"))
+    return search.search_many(t.spark, folder, asked.select("query", F.col("query").alias("text")))
+
+
 # --- ingestion ------------------------------------------------------------------------------------------------------------------
 
 
