@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
@@ -105,6 +105,7 @@ def tree_all_periods(t):
 def brand_baseline(t: Tables) -> DataFrame:
     """Baselines of brands by their share of all links."""
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("key")).agg(F.count("*").alias("citations"))
+    rows = written(rows, "brands")
     total, n = rows.agg(F.sum("citations"), F.count("*")).first()
     return prune.baseline_share(rows, total, n)
 
@@ -532,8 +533,8 @@ def baseline_share(t):
 def specialization(t):
     counts = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     counts = counts.select(F.col("s_nationkey").cast("long").alias("nation"), F.col("p_brand").alias("brand"), "l_orderkey", "l_partkey").distinct().groupBy("nation", "brand").agg(F.count("*").alias("n"))
-    total = counts.groupBy("nation").agg(F.sum("n").alias("total"))
-    rows = counts.join(total, "nation").join(brand_baseline(t), F.col("key") == F.col("brand"))
+    total = F.sum("n").over(Window.partitionBy("nation")).alias("total")
+    rows = counts.select("*", total).join(brand_baseline(t), F.col("key") == F.col("brand"))
     return rows.select("nation", "brand", F.round(F.col("n") / F.col("total") / F.col("baseline"), 9).alias("spec"))
 
 
