@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _per_ref(tuples: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
+def per_ref(tuples: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
     """One row per prefix and ref: depth, keys, ref, n distinct cits.
 
     Tuples are shuffled once, by ref and cit; every prefix's distinct pairs are then found within the partition, and only their
@@ -24,7 +24,8 @@ def _per_ref(tuples: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
     return pairs.groupBy("depth", *keys, *extra, "ref").agg(F.count("cit").alias("n"))
 
 
-def _per_prefix(per_ref: DataFrame, by: list[str]) -> DataFrame:
+def per_prefix(per_ref: DataFrame, by: list[str]) -> DataFrame:
+    """One row per prefix (and what else is in ``by``) of rows of ``per_ref``; sums and maxima, so a prefix of many refs is combined before it is shuffled."""
     top = F.max(F.struct(F.col("n"), (-F.col("ref")).alias("low"))).alias("top")
     out = per_ref.groupBy("depth", *by).agg(F.sum("n").cast("long").alias("link_count"), F.count("*").cast("long").alias("source_count"), top)
     return out.select("depth", *by, "link_count", "source_count", (-F.col("top.low")).cast("long").alias("top_source"), F.col("top.n").cast("long").alias("top_source_links"))
@@ -32,7 +33,7 @@ def _per_prefix(per_ref: DataFrame, by: list[str]) -> DataFrame:
 
 def rollup(tuples: DataFrame, keys: list[str]) -> DataFrame:
     """(depth, keys..., link_count, source_count, top_source, top_source_links); depth 0 is the root, unused keys are null."""
-    return _per_prefix(_per_ref(tuples, keys, []), keys)
+    return per_prefix(per_ref(tuples, keys, []), keys)
 
 
 def since_year(tuples: DataFrame, year: int, col: str = "year") -> DataFrame:
@@ -46,7 +47,7 @@ def rollup_periods(tuples: DataFrame, keys: list[str], periods: int) -> DataFram
     Tuples have the ref's ``period``. A ref has one period, so each period is rolled up by itself and the few
     results per prefix are then added up from the latest back.
     """
-    single = _per_prefix(_per_ref(tuples, keys, ["period"]), [*keys, "period"])
+    single = per_prefix(per_ref(tuples, keys, ["period"]), [*keys, "period"])
     return fold_disjoint(single.withColumn("period", F.explode(F.sequence(F.lit(0), F.col("period")))).filter(F.col("period") < periods), [*keys, "period"])
 
 

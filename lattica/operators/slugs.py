@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import checkpoint_folder
 from ..functions.columns import slug
+from ..scratch import written
 
 #: Fixed value: what is appended, after a hyphen, to the last candidate when all are taken.
 SUFFIXES = "23456789abcdefghijklmno"
@@ -48,25 +51,73 @@ def unique_slugs(rows: DataFrame, slug_col: str = "slug") -> DataFrame:
 
 def assign_slugs(rows: DataFrame) -> DataFrame:
     """(id, slug) from (id, works, candidates): in order of most works, then the higher id, each takes its first free candidate, else its
-    last with the first free suffix, else ''. Without candidates: ''.
-
-    Rounds of claims: every id claims its present form, the first in order holds it, all others go on to their next form;
-    a holder gives way to an earlier one that comes later. As every form prefers the same order, the rounds end where
-    assigning one id after the other would. A form's holder is a maximum, so a form that many want makes no large group.
+    last with the first free suffix, else ''. Without candidates: ''. Null works come last; ids are taken to be unique.
+
+    An id claims one of its forms, the first in order holds it, all others go on to their next form; a holder gives way to an earlier one
+    that comes later. As every form prefers the same order, the rounds end where assigning one id after the other would. Three things keep
+    them few and small. A form that one id alone lists is never contested: an id that comes to it is settled and leaves. Of ids with the
+    same list the k-th in order can get no form before the k-th, so it starts there. And what is carried from round to round, in a table
+    written each time, are the ids at contested forms; when no more than ``FINISH_ROWS`` are left they are assigned in order in one task.
+    A form's holder is a maximum and ids are joined by id, so a form that many want makes no large group.
     """
-    checkpoint_folder(rows.sparkSession)
     none = F.array().cast("array<string>")
     suffixed = F.transform(F.sequence(F.lit(1), F.lit(len(SUFFIXES))), lambda i: F.concat(F.element_at("candidates", -1), F.lit("-"), F.substring(F.lit(SUFFIXES), i, F.lit(1))))
     forms = F.when(F.size("candidates") > 0, F.array_distinct(F.concat("candidates", suffixed))).otherwise(none)
-    state = rows.select("id", "works", F.coalesce("candidates", none).alias("candidates")).select("id", "works", forms.alias("forms"), F.lit(0).alias("at"))
+    every = rows.select("id", F.coalesce("works", F.lit(-1)).alias("works"), F.coalesce("candidates", none).alias("candidates"))
+    every = written(every.select("id", "works", forms.alias("forms")), "forms")
+    state = written(_starts(every), "slugs")
+    settled = [state.filter(_is_settled()).select("id", _form().alias("slug"))]
+    state = state.filter(~_is_settled())
     while True:
-        claims = state.filter(F.col("at") < F.size("forms")).select("id", "works", F.get("forms", F.col("at")).alias("form"))
-        holders = claims.groupBy("form").agg(F.max(F.struct("works", "id")).alias("best")).select(F.col("best.id").alias("id"), F.lit(True).alias("held"))
-        lost = F.col("held").isNull() & (F.col("at") < F.size("forms"))
-        state = state.join(holders, "id", "left").select("id", "works", "forms", (F.col("at") + lost.cast("int")).alias("at"), lost.alias("lost")).checkpoint()
-        if state.filter("lost").isEmpty():
-            return state.select("id", F.coalesce(F.get("forms", F.col("at")), F.lit("")).alias("slug"))
-        state = state.drop("lost")
+        left = state.count()
+        if left <= FINISH_ROWS:
+            if left:
+                settled.append(state.groupBy().applyInArrow(_in_order, settled[0].schema))
+            break
+        holders = state.groupBy(_form().alias("form")).agg(F.max(F.struct("works", "id")).alias("best")).select(F.col("best.id").alias("id"), F.lit(1).alias("held"))
+        moved = state.join(holders, "id", "left").withColumn("lost", F.col("held").isNull())
+        moved = written(moved.select("id", "works", "forms", "alone", (F.col("at") + F.col("lost").cast("int")).alias("at"), "lost"), "slugs")
+        if moved.filter("lost").isEmpty():
+            settled.append(moved.select("id", _form().alias("slug")))
+            break
+        settled.append(moved.filter(_is_settled()).select("id", _form().alias("slug")))
+        state = moved.filter(~_is_settled()).drop("lost")
+    found = reduce(DataFrame.unionByName, settled)
+    return every.select("id").join(found, "id", "left").select("id", F.coalesce("slug", F.lit("")).alias("slug"))
+
+
+#: When so few ids are left their forms are assigned in one task; another number changes the time, not the result.
+FINISH_ROWS = 20_000
+
+
+def _form() -> Column:
+    return F.get("forms", F.col("at"))
+
+
+def _is_settled() -> Column:
+    """At a form of its own, or past all forms."""
+    return (F.col("at") >= F.size("forms")) | (F.col("at") >= F.coalesce("alone", F.lit(1 << 30)))
+
+
+def _starts(every: DataFrame) -> DataFrame:
+    """(id, works, forms, alone, at): where an id starts in its forms, and the first of them that nobody else lists. Ids that can get no form are left out."""
+    listed = every.select("id", F.posexplode("forms").alias("pos", "form"))
+    own = listed.groupBy("form").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("pos").alias("pos")).filter("n = 1")
+    alone = own.groupBy("id").agg(F.min("pos").alias("alone"))
+    longest = every.agg(F.max(F.size("forms"))).first()[0] or 0
+    alike = Window.partitionBy("forms").orderBy(F.desc("works"), F.desc("id"))
+    # the limit is taken within each partition first, so that a list that many share makes no large group
+    first = every.filter(F.size("forms") > 0).withColumn("at", F.row_number().over(alike)).filter(F.col("at") <= max(1, longest)).withColumn("at", F.col("at") - 1)
+    return first.filter(F.col("at") < F.size("forms")).join(alone, "id", "left").select("id", "works", "forms", "alone", "at")
+
+
+def _in_order(group: pa.Table) -> pa.Table:
+    taken, out = set(), []
+    for row in sorted(group.to_pylist(), key=lambda r: (r["works"], r["id"]), reverse=True):
+        form = next((f for f in row["forms"][row["at"] :] if f not in taken), "")
+        taken.add(form)
+        out.append((row["id"], form))
+    return pa.table({"id": pa.array([i for i, _ in out], group.schema.field("id").type), "slug": pa.array([f for _, f in out], pa.string())})
 
 
 def distinct_names(rows: DataFrame) -> DataFrame:

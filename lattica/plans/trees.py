@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import prune as pruning
-from ..operators.rollup import rollup, rollup_periods, since_year
+from ..operators.rollup import per_prefix, per_ref, rollup, rollup_periods, since_year
 
 
 @dataclass
@@ -149,7 +149,18 @@ def tuples(graph: Graph, root: str, entity, g: Generator) -> DataFrame:
         works = graph.roots["institutions"].join(members.withColumnRenamed("inst", "entity"), "entity").select(F.col("entity").alias("member"), F.col("work").alias("ref"))
     else:
         works = graph.roots[root].filter(F.col("entity") == entity).select(F.col("work").alias("ref"))
-    rows = works.distinct()
+    rows, keys = _attributed(graph, works.distinct(), g, F.lit(entity))
+    if g.member_first:
+        keys = [F.col("member"), *keys]
+    return rows.select(*_named(keys), "ref", "cit").distinct().join(graph.years, "ref")
+
+
+def _named(keys: list[Column]) -> list[Column]:
+    return [k.alias(f"k{i + 1}") for i, k in enumerate(keys)]
+
+
+def _attributed(graph: Graph, rows: DataFrame, g: Generator, own: Column) -> tuple[DataFrame, list[Column]]:
+    """The works ``rows`` (ref, ...) with their citing works and the attributes of a generator's steps, and its levels; ``own`` is the root."""
     for side in ("r", "c"):
         if side == "c":
             rows = rows.join(graph.citing, "ref")
@@ -158,17 +169,54 @@ def tuples(graph: Graph, root: str, entity, g: Generator) -> DataFrame:
                 continue
             columns = ATTRIBUTES[step.attribute]
             attributes = graph.tables[side, step.attribute].select(F.col("work").alias("ref" if side == "r" else "cit"), *[F.col(a).alias(f"s{i}_{a}") for a in columns])
+            rows = rows.join(attributes, "ref" if side == "r" else "cit")
             if step.exclude_root:
-                own = F.col(f"s{i}_{step.exclude_root}")
-                attributes = attributes.filter(own.isNull() | (own != entity))
+                other = F.col(f"s{i}_{step.exclude_root}")
+                rows = rows.filter(other.isNull() | (other != own))
             if step.root_value:
-                attributes = attributes.filter((F.col(f"s{i}_{step.root_value}") == entity) & F.col(f"s{i}_{columns[0]}").isNotNull())
-            rows = rows.join(attributes, "ref" if side == "r" else "cit")
-    keys = [F.col("ref") if step == "work" else F.col(f"s{step}_{col}") for _, step, col in g.levels]
+                rows = rows.filter((F.col(f"s{i}_{step.root_value}") == own) & F.col(f"s{i}_{columns[0]}").isNotNull())
+    return rows, [F.col("ref") if step == "work" else F.col(f"s{step}_{col}") for _, step, col in g.levels]
+
+
+def forest(graph: Graph, root: str, tid: int = 0, year: int | None = None) -> DataFrame:
+    """The rollup of one tree for all entities of a kind at once: a column ``root`` before those of ``tree``. An entity without links has no rows.
+
+    Where no step depends on the root, a work's counts per prefix are found once and given to each of its roots; else links are
+    counted per root. Either way tasks hold works, not roots, and what they found for a root is added up before it is shuffled.
+    """
+    g = GENERATORS[TREES[root][tid]]
+    names = level_names(g)
+    return per_prefix(_per_root(graph, root, g, names, year), ["root", *names])
+
+
+def _per_root(graph: Graph, root: str, g: Generator, names: list[str], year: int | None) -> DataFrame:
+    """(depth, k1..kn, root, ref, n): distinct citing works of each work under every prefix and root."""
+    years = graph.years if year is None else graph.years.filter(F.col("year") >= year)
     if g.member_first:
-        keys = [F.col("member"), *keys]
-    named = [k.alias(n) for k, n in zip(keys, level_names(g))]
-    return rows.select(*named, "ref", "cit").distinct().join(graph.years, "ref")
+        country = graph.tables["r", "inst_country"].select(F.col("inst").alias("entity"), F.col("country").alias("root"))
+        links = graph.roots["institutions"].join(country, "entity").select("root", F.col("entity").alias("member"), F.col("work").alias("ref")).distinct()
+    else:
+        links = graph.roots[root].select(F.col("entity").alias("root"), F.col("work").alias("ref")).distinct()
+    links = links.filter("root is not null").join(years.select("ref"), "ref", "left_semi")
+    if any(s.exclude_root or s.root_value for s in g.steps):
+        rows, keys = _attributed(graph, links, g, F.col("root"))
+        return per_ref(rows.select("root", *_named(keys), "ref", "cit"), names, ["root"])
+    rows, keys = _attributed(graph, links.select("ref").distinct(), g, F.lit(None))
+    own = names[len(names) - len(keys) :]
+    parts = per_ref(rows.select(*[k.alias(n) for k, n in zip(keys, own)], "ref", "cit"), own, [])
+    if not g.member_first:
+        return parts.join(links, "ref")
+    under = parts.join(links, "ref").withColumn("depth", F.col("depth") + 1).withColumnRenamed("member", names[0])
+    # a work of several members counts once for their country
+    whole = parts.filter("depth = 0").join(links.select("root", "ref").distinct(), "ref").withColumn(names[0], F.lit(None).cast(under.schema[names[0]].dataType))
+    return under.unionByName(whole)
+
+
+def pruned_forest(graph: Graph, root: str, tid: int = 0, year: int | None = None, siblings: int = 16) -> DataFrame:
+    """``pruned_tree`` for all entities of a kind at once."""
+    g = GENERATORS[TREES[root][tid]]
+    baselines = {d: graph.baselines[kind] for d, kind in enumerate(level_kinds(g)) if kind in graph.baselines}
+    return pruning.prune(forest(graph, root, tid, year), level_names(g), list(g.denominators), baselines, siblings, by=("root",))
 
 
 def tree(graph: Graph, root: str, entity, tid: int = 0, year: int | None = None) -> DataFrame:

@@ -232,14 +232,29 @@ _TREE_SQL = {
 }
 
 
-def tree_sql(root: str, tid: int, year: int = 1998) -> str:
+#: of all entities
+_ROOTS = {
+    "authors": "select distinct author as root, work from r_author", "institutions": "select distinct inst as root, work from r_ci", "countries": "select distinct country as root, work, inst from r_ci",
+    "sources": "select distinct source as root, work from r_source", "subfields": "select distinct subfield as root, work from r_segment",
+}
+
+
+def tree_sql(root: str, tid: int, year: int = 1998, whole: bool = False) -> str:
+    """Of one entity, or of all with their ids as ``root``."""
     levels, joins, condition = _TREE_SQL[root, tid]
     keys = [f"k{i + 1}" for i in range(levels.count(",") + 1)]
     select = ", ".join(f"{e.strip()} as {k}" for e, k in zip(levels.split(","), keys))
     joined = " ".join(f"join {j.strip()} on {j.split()[1]}.work = {'ref' if j.strip().startswith('r_') else 'cit'}" for j in joins.split(","))
     works = f"(select distinct work{', inst' if 'm.inst' in levels else ''} from {_ROOT[root][1]})"
+    if whole:
+        works, select, condition = f"({_ROOTS[root]})", f"m.root, {select}", re.sub(r"<> \d+", "<> m.root", condition)
     base = f"{_GRAPH_SQL}, base as (select distinct {select}, ref, cit from {works} m join links on links.ref = m.work join r_source yr on yr.work = ref {joined} where yr.year >= {year} {'and ' + condition if condition else ''})"
-    return rollup_sql(keys, base).replace("  links as (select distinct k1", "  dlinks as (select distinct k1").replace("from links group by", "from dlinks group by")
+    sql = rollup_sql(keys, base, extra="root" if whole else "")
+    return sql.replace("  links as (select distinct k1", "  dlinks as (select distinct k1").replace("from links group by", "from dlinks group by")
+
+
+#: trees that are made for all entities at once too: shared counts of works, the root left out, members of a country first, the root's own topics
+_FORESTS = [("authors", 4), ("institutions", 6), ("countries", 2), ("subfields", 0)]
 
 
 def _register_trees():
@@ -247,6 +262,10 @@ def _register_trees():
         name = f"tree_{root}_{tid}"
         QUERIES[name] = lambda spark, sf_dir, root=root, tid=tid: trees.tree(order_graph(Tables(spark, sf_dir)), root, _ROOT[root][0], tid, 1998)
         ORACLE_SQL[name] = tree_sql(root, tid)
+    for root, tid in _FORESTS:
+        name = f"forest_{root}_{tid}"
+        QUERIES[name] = lambda spark, sf_dir, root=root, tid=tid: trees.forest(order_graph(Tables(spark, sf_dir)), root, tid, 1998)
+        ORACLE_SQL[name] = tree_sql(root, tid, whole=True)
 
 
 _register_trees()
@@ -789,6 +808,20 @@ def slug_greedy(t):
     return slugs.assign_slugs(t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("works"), candidates.alias("candidates")))
 
 
+_SUFFIXED = "list_transform(range(1, 24), lambda i: c[len(c)] || '-' || substring('23456789abcdefghijklmno', i, 1))"
+
+
+@query(f"""with recursive p as (select p_size, p_partkey as id, [string_split(p_name, ' ')[1], {_SLUG.format("p_name")}] as c from part),
+  o as (select c[1] as w, row_number() over (partition by c[1] order by p_size desc, id desc) as k, id, list_concat(c, {_SUFFIXED}) as forms from p),
+  g as (select distinct w, cast(0 as bigint) as k, cast(0 as bigint) as id, '' as slug, cast([] as varchar[]) as taken from o
+        union all select w, k, id, coalesce(slug, ''), list_append(taken, slug) from (select o.w, o.k, o.id, g.taken, list_filter(o.forms, lambda x: not list_contains(g.taken, x))[1] as slug from g join o on o.w = g.w and o.k = g.k + 1))
+  select id, slug from g where k > 0""")
+def slug_suffixes(t):
+    """More rows than forms: suffixes and empty slugs occur. In the SQL a first word's rows are a sequence of their own, as they share no form with others."""
+    candidates = F.array(F.split("p_name", " ")[0], C.slug(F.col("p_name")))
+    return slugs.assign_slugs(t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("works"), candidates.alias("candidates")))
+
+
 _NAMED = "n as (select p_partkey as id, p_name as name, p_brand as country, p_type as city from part)"
 
 
