@@ -3,35 +3,26 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage: a lost executor re-reads them, not their ancestors."""
+    """Parquet tables in the shared folder that cut lineage: a lost executor re-reads them, not their ancestors. They go with the session."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_root(spark)}/lattica/{name}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, name)
 
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"

@@ -483,7 +483,10 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     Text is split at white space after lower-casing A-Z; each text ends with one end token. Null text is empty. Every word of the training texts gets a
     class from the counts of all its neighbours; ``core_words`` only bounds how many start with the sequential exchange, ``rounds`` how often all words are
     reassigned. Without training texts the score is the base score. Repeated and null ids keep their rows. An empty table gives no rows.
+    Two to 127 classes, as a neighbour's class and side are stored in a byte.
     """
+    if not 2 <= classes <= 127:
+        raise ValueError("classes must be from 2 to 127")
     spark = docs.sparkSession
     scratch = Scratch(spark, "brown")
     rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))

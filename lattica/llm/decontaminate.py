@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import free_names
 from ._common import Scratch, text_bytes
 
 #: bytes of words stay (A-Z in lower case), all others become spaces
@@ -349,9 +350,6 @@ def remove(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: f
     return docs.mapInArrow(run, docs.schema)
 
 
-KEY, CUT = "__text_key__", "__cut__"
-
-
 def _remove_by_many(docs: DataFrame, rows: DataFrame, shards: int, window: int, most_coverage: float, text_col: str, length_col: str | None) -> DataFrame:
     """``remove`` by several automata in turn, each in a pass of its own, and all of them again over the texts that were cut."""
     spark = docs.sparkSession
@@ -390,10 +388,11 @@ def _remove_by_many(docs: DataFrame, rows: DataFrame, shards: int, window: int,
             break
         changed = done if changed is None else scratch.put(changed.join(done, "key", "left_anti").unionByName(done), f"changed{turn}")
         source, turn = done.filter("text is not null"), turn + 1
-    changed = changed.select(F.col("key").alias(KEY), F.col("text").cast("string").alias(CUT), F.lit(True).alias("__hit__"))
-    out = docs.withColumn(KEY, F.sha2(text_bytes(text_col), 256)).join(changed, KEY, "left").filter(F.col("__hit__").isNull() | F.col(CUT).isNotNull())
+    key, cut_text, hit = free_names(docs, "text_key", "cut_text", "hit")
+    changed = changed.select(F.col("key").alias(key), F.col("text").cast("string").alias(cut_text), F.lit(True).alias(hit))
+    out = docs.withColumn(key, F.sha2(text_bytes(text_col), 256)).join(changed, key, "left").filter(F.col(hit).isNull() | F.col(cut_text).isNotNull())
     columns = {c: F.col(f"`{c}`") for c in docs.columns}
-    columns[text_col] = F.coalesce(CUT, columns[text_col])
+    columns[text_col] = F.coalesce(cut_text, columns[text_col])
     if length_col in docs.columns:
-        columns[length_col] = F.when(F.col(CUT).isNull(), columns[length_col]).otherwise(F.length(CUT).cast(docs.schema[length_col].dataType))
+        columns[length_col] = F.when(F.col(cut_text).isNull(), columns[length_col]).otherwise(F.length(cut_text).cast(docs.schema[length_col].dataType))
     return out.select(*(v.alias(c) for c, v in columns.items()))

@@ -153,3 +153,9 @@ def test_odd_documents(odd_docs, no_docs):
     assert brown.score(no_docs, HELD()).count() == 0
     rows = brown.score(odd_docs, F.lit(True)).collect()  # nothing to learn from
     assert all(r.train_tokens == 0 and math.isclose(r.score, r.base_score, abs_tol=1e-9) for r in rows)
+
+
+@pytest.mark.parametrize("classes", [1, 128, 300])
+def test_classes_that_a_byte_cannot_hold(spark, no_docs, classes):
+    with pytest.raises(ValueError):
+        brown.score(no_docs, HELD(), classes=classes)

@@ -100,3 +100,13 @@ def test_removal_does_not_depend_on_the_size_of_automata(spark, max_words):
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {i: t for i, t in want.items() if t is not None or i == 7}
     assert all(r.n_chars == len(r.text or "") for r in out.collect())
+
+
+@pytest.mark.parametrize("max_words", [200_000, 12])
+def test_removal_beside_columns_of_any_name(spark, max_words):
+    passage = " ".join(f"b{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, "a " * 40 + passage, 1, "x", True, 9), (2, passage, 2, "y", False, 9), (3, None, 3, "z", None, 9)], "doc_id long, text string, text_key int, cut_text string, hit boolean, n_chars long")
+    items = spark.createDataFrame([(1, passage), (2, "other words " * 6)], "item_id long, text string")
+    out = decontaminate.remove(docs, items, max_words=max_words)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.text_key, r.cut_text, r.hit) for r in out.collect()) == [(1, "a " * 40, 1, "x", True), (3, None, 3, "z", None)]

@@ -80,3 +80,31 @@ def test_run_equals_brute_force(spark, tmp_path):
     tokens = packing.tokenize_pieces(spark.createDataFrame(want, "doc_id long, text string"), corpus_pipeline.tokenizer_path())
     tokens = tokens.select(F.col("id").alias("doc_id"), "piece", "length", F.crc32("ids").alias("ids_crc32"))
     assert pieces(corpus_pipeline.run(spark, str(tmp_path))) == pieces(tokens)
+
+
+def test_stages_with_labels_secrets_and_odd_rows(spark, tmp_path):
+    """Each stage by itself: labelled bad texts go, a secret is masked, null, empty, long and repeated rows pass, and columns of any name stay."""
+    rng = random.Random(3)
+    good = [" ".join(rng.choice(["river", "stone", "meadow", "cloud", "walk", "light"]) for _ in range(60)) for _ in range(120)]
+    bad = [" ".join(rng.choice(["buy", "cheap", "pills", "click", "now", "winner"]) for _ in range(60)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(900, None), (901, ""), (902, "river stone " * 40_000), (903, "password = hunter2secret river stone"), (903, "password = hunter2secret river stone")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "k", 2, True) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, words_key int, key string, cut_text int, hit boolean")
+    spark.createDataFrame([(i, int(i < 120), 0) for i in range(0, 240, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality classifier"](spark, docs, str(tmp_path))
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert kept.columns == docs.columns and not [i for i in ids if 120 <= i < 240] and len([i for i in ids if i < 120]) >= 114
+    near = stages["SimHash near-dedup"](spark, docs, str(tmp_path))
+    found = sorted(r.doc_id for r in near.select("doc_id").collect())
+    assert near.columns == docs.columns and [i for i in found if i >= 900] == [900, 902, 903]
+    clean = stages["benchmark decontamination"](spark, near, str(tmp_path))
+    assert clean.columns == docs.columns and clean.count() == near.count()
+    masked = stages["secret scans"](spark, clean, str(tmp_path))
+    text = masked.filter("doc_id = 903").first().text
+    assert masked.columns == docs.columns and "hunter2secret" not in text and "river stone" in text
+    assert masked.filter("doc_id = 900").first().text is None
+    packed = stages["best-fit packing"](spark, masked, str(tmp_path))
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(found)
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
