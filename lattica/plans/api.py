@@ -21,6 +21,7 @@ class Service:
     graph: trees.Graph
     relations: dict[str, DataFrame] = field(default_factory=dict)
     index: dict[str, DataFrame] = field(default_factory=dict)
+    prime: dict[str, DataFrame] = field(default_factory=dict)  # top lists with names
 
     def __post_init__(self):
         for kind, rows in self.entities.items():
@@ -39,17 +40,25 @@ class Service:
     def slug_of(self, kind: str, entity: int) -> DataFrame:
         return self.entities[kind].filter(F.col("id") == entity).select("slug")
 
-    def view(self, kind: str, slug: str, similars: int = 8) -> dict[str, DataFrame]:
-        """The entity, its relations and its nearest others (all of the nearest, not a random choice)."""
+    def view(self, kind: str, slug: str, similars: int = 8, seed: int = 0) -> dict[str, DataFrame]:
+        """The entity (with its yearly arrays and first year), its institutions and top lists with names, and ``similars`` of its nearest, drawn by seed.
+
+        Nearest are a twentieth of all of the kind, 500 at most and itself among them; it is left out of what was drawn.
+        """
         rows = self.entities[kind]
         entity = rows.filter(F.col("slug") == slug)
-        found = entity.select("id").first()
+        found = entity.select("id", "rank").first()
         if found is None:
             raise KeyError(slug)
-        near = similar.nearest(similar.standardized(rows), found["id"], similars)
-        out = {"entity": entity, "similar": near.join(rows.select("id", "name", "slug"), "id").orderBy("distance", "id")}
+        pool = similar.neighbourhood_size(rows.count())
+        plane = similar.standardized(rows.select(F.col("rank").alias("id"), "papers", "citations"))
+        near = similar.nearest(plane, found["rank"], max(0, pool - 1)).select("id").unionByName(rows.filter(F.col("rank") == found["rank"]).select(F.col("rank").alias("id")))
+        drawn = ranking.sample(near, min(similars, pool), seed).filter(F.col("id") != found["rank"])
+        out = {"entity": entity, "similar": rows.join(drawn.withColumnRenamed("id", "rank"), "rank").select("id", "name", "slug", "papers", "citations", "rank").orderBy("rank")}
         if kind in self.relations:
-            out["relations"] = self.relations[kind].filter(F.col("entity") == found["id"]).orderBy("rel_type", "rank")
+            out["relations"] = self.relations[kind].filter(F.col("entity") == found["id"]).orderBy("rank")
+        if kind in self.prime:
+            out["prime"] = self.prime[kind].filter(F.col("entity") == found["id"]).orderBy("rel_type", "rank")
         return out
 
     def tree(self, kind: str, slug: str, tid: int = 0, year: int | None = None, shallow: int | None = None) -> DataFrame:

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import filters, labels, links, prune, ranking, rollup, search, similar, slugs, stats
-from .plans import trees
+from .plans import entities, trees
 from .scratch import new_folder, written
+from .sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -924,6 +926,55 @@ def explode_lists(t):
     return child_rows(t.part.select(F.col("p_partkey").alias("id"), C.split_list(F.col("p_name"), " ").alias("words")), "words")
 
 
+def nested_orders(t: Tables) -> DataFrame:
+    """Orders as records that hold their lines, each with its part and the words of the part's name."""
+    part = t.part.select(F.col("p_partkey").alias("l_partkey"), F.struct(F.col("p_brand").alias("brand"), F.split("p_name", " ").alias("words")).alias("part"))
+    lines = t.lineitem.join(part, "l_partkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_partkey", "part"))).alias("lines"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus").join(lines, F.col("id") == F.col("l_orderkey"), "left").select("id", "o_orderstatus", "lines")
+
+
+_NESTED = "n as (select l_orderkey || '.lines.' || (row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice) - 1) || '.part' as part, l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_extendedprice) - 1 as i, l_partkey, string_split(p_name, ' ') as words from lineitem join part on p_partkey = l_partkey)"
+
+
+@query(f"with {_NESTED} select part || '.words.' || (k - 1) as key, part as parent_key, cast(k - 1 as int) as position, words[k] as value from n, range(1, 12) r(k) where k <= len(words)")
+def nested_children(t):
+    """The words of the parts of the lines of orders: three levels below the records."""
+    return records.split_nested(nested_orders(t), "orders")["orders_lines_part_words"]
+
+
+@query(f"with {_NESTED} select 'order ' || o_orderkey as source, coalesce(p, '') as parts, coalesce(w, '') as words from orders left join (select l_orderkey, string_agg(l_partkey, ',' order by i) as p, string_agg(array_to_string(words, ','), ',' order by i) as w from n group by 1) on l_orderkey = o_orderkey union all select 'document ' || doc_id, '', '' from documents")
+def json_paths(t):
+    """Numbers and words at paths of raw JSON text; texts that are no JSON have none."""
+    raw = nested_orders(t).select(F.concat(F.lit("order "), "id").alias("source"), F.to_json(F.struct("lines")).alias("text"))
+    raw = raw.unionByName(t.documents.select(F.concat(F.lit("document "), "doc_id").alias("source"), "text"))
+    parts, words = records.json_values(F.col("text"), "$.lines[*].l_partkey", "bigint"), records.json_values(F.col("text"), "$.lines[*].part.words[*]")
+    return raw.select("source", F.array_join(parts.cast("array<string>"), ",").alias("parts"), F.array_join(words, ",").alias("words"))
+
+
+_PRIME_SQL = f"""with {_GRAPH_SQL},
+  cites as (select ref as work, count(*) as c from links group by ref), works as (select distinct author as entity, work from r_author),
+  counts as (select entity, 0 as rel_type, subfield as related, count(*) as score, 0 as value from works join r_segment using (work) group by all
+    union all select entity, 1, p.subfield, count(*), 0 from works w join links l on l.ref = w.work join c_part p on p.work = l.cit group by all
+    union all select entity, 2, topic, count(*), 0 from works join r_segment using (work) group by all
+    union all select entity, 3, cast(country as varchar), count(*), 0 from works join (select distinct work, country from r_ci) using (work) group by all
+    union all select entity, 4, cast(source as varchar), count(*), source * 10 from works join r_source using (work) group by entity, source
+    union all select entity, 5, cast(related as varchar), cast(coalesce(min(case when place > c then place end), count(*)) as bigint), 0 from (
+      select w.entity, a.author as related, coalesce(c, 0) as c, row_number() over (partition by w.entity, a.author order by coalesce(c, 0) desc) - 1 as place from works w join r_author a using (work) left join cites using (work) where a.author <> w.entity) group by entity, related),
+  placed as (select *, row_number() over (partition by entity, rel_type order by value desc, score desc, try_cast(related as bigint), related) as rank from counts)
+  select entity, rel_type, related, score, rank from placed where rank <= case rel_type when 5 then 5 else 3 end"""
+
+
+@query(_PRIME_SQL)
+def prime_lists(t):
+    """All six top lists of customers and suppliers at once; a source's value is ten times its number."""
+    graph = order_graph(t)
+    country = graph.tables["r", "country_inst"].select("work", "country").distinct()
+    topic = graph.tables["r", "subfield_topic"].select("work", "topic").distinct()
+    graph = replace(graph, tables={**graph.tables, ("r", "country"): country, ("r", "topic"): topic})
+    values = graph.tables["r", "source"].select("source", (F.col("source") * 10).alias("value")).distinct()
+    return entities.prime_lists(graph, "authors", values)
+
+
 @query("select d.doc_id, d.lang, d.n_chars from documents d join labels l on l.doc_id = d.doc_id where l.quality = 1 and d.n_chars > 500")
 def export_filtered(t):
     return t.documents.filter("n_chars > 500").join(t.labels.filter("quality = 1").select("doc_id"), "doc_id").select("doc_id", "lang", "n_chars")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from .. import schema
 from ..functions.columns import clean_name, last_segment, url_number
+from ..scratch import written
 
 
 def read_records(spark: SparkSession, path: str, entity: str, strict: bool = True) -> DataFrame:
@@ -40,6 +42,66 @@ def child_rows(rows: DataFrame, items: str, parent: str = "id") -> DataFrame:
     return rows.select(F.col(parent).alias("parent_id"), F.posexplode(items).alias("position", "item"))
 
 
+def split_nested(rows: DataFrame, name: str, key: str = "id") -> dict[str, DataFrame]:
+    """The tables of nested records, by a walk over their schema: "<name>" for the records and "<name>_<field>" for every struct and array below, at
+    any depth.
+
+    A record's key is its column ``key`` as a string, kept as ``key``. A struct gives a row for each parent that has one; an array gives a row for
+    each item, with its ``position`` from 0, and items that are no structs are in column ``value``. Such a row has its parent's key as
+    ``parent_key`` and a key made of it, the field and the position, so keys are unique where those of the records are. Null structs, arrays and items
+    give no rows; an empty array gives none. A table without plain fields has its keys only. The records are stored once, and each
+    table reads its own columns of them.
+    """
+    stored = written(rows.withColumn("__key", F.col(key).cast("string")), name)
+    out: dict[str, DataFrame] = {}
+
+    def walk(table: str, frame: DataFrame, keys: list[str], item: str | None, fields: list[StructField]) -> None:
+        inside = (lambda f: F.col(f"`{item}`.`{f}`")) if item else (lambda f: F.col(f"`{f}`"))
+        nested = [f for f in fields if isinstance(f.dataType, (StructType, ArrayType))]
+        plain = [inside(f.name).alias(_beside(f.name, keys)) for f in fields if f not in nested]
+        out[table] = frame.select(*[F.col(f"__{k}").alias(k) for k in keys], *plain)
+        for f in nested:
+            below, kind = f"{table}_{f.name}", f.dataType
+            parent = F.col("__key").alias("__parent_key")
+            if isinstance(kind, StructType):
+                child = frame.select(parent, F.concat_ws(".", "__key", F.lit(f.name)).alias("__key"), inside(f.name).alias("__item")).filter("__item is not null")
+                walk(below, child, ["key", "parent_key"], "__item", kind.fields)
+                continue
+            child = frame.select(parent, F.posexplode(inside(f.name)).alias("__position", "__item")).filter("__item is not null")
+            child = child.withColumn("__key", F.concat_ws(".", "__parent_key", F.lit(f.name), F.col("__position").cast("string")))
+            where = ["key", "parent_key", "position"]
+            if isinstance(kind.elementType, StructType):
+                walk(below, child, where, "__item", kind.elementType.fields)
+            else:
+                walk(below, child.withColumnRenamed("__item", "value"), where, None, [StructField("value", kind.elementType)])
+
+    walk(name, stored, ["key"], None, [f for f in rows.schema.fields])
+    return out
+
+
+def _beside(field: str, keys: list[str]) -> str:
+    """The name of a record's field beside the keys of its table."""
+    return f"{field}_" if field in keys else field
+
+
+def json_values(text: Column, path: str, kind: str = "string") -> Column:
+    """The array of values at a path of raw JSON text, in order, such as "$.authorships[*].author.id"; a star stands for every item of an array.
+
+    A path that leads nowhere, a null, an item of another shape and a value that cannot be read as ``kind`` give nothing; malformed or null text gives
+    an empty array.
+    """
+
+    def walk(value: Column, steps: list[str]) -> Column:
+        head, *rest = steps
+        if not rest:
+            return F.array(F.try_variant_get(value, "$" + head, kind))
+        items = F.try_variant_get(value, "$" + head, "array<variant>")
+        return F.flatten(F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda x: walk(x, rest)))
+
+    found = walk(F.try_parse_json(text), path.removeprefix("$").split("[*]"))
+    return F.filter(F.coalesce(found, F.array().cast(f"array<{kind}>")), lambda x: x.isNotNull())
+
+
 def split_works(works: DataFrame) -> dict[str, DataFrame]:
     """Main rows and child tables of works: references, topics, sources, authorships and their institutions."""
     works = works.withColumn("id", url_number(F.col("id")))
