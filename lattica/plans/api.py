@@ -43,7 +43,8 @@ class Service:
     def view(self, kind: str, slug: str, similars: int = 8, seed: int = 0) -> dict[str, DataFrame]:
         """The entity (with its yearly arrays and first year), its institutions and top lists with names, and ``similars`` of its nearest, drawn by seed.
 
-        Nearest are a twentieth of all of the kind, 500 at most and itself among them; it is left out of what was drawn.
+        Nearest are a twentieth of all of the kind, 500 at most and itself among them; it is left out of what was drawn. Where that is no more than
+        ``similars``, the nearest others themselves are shown.
         """
         rows = self.entities[kind]
         entity = rows.filter(F.col("slug") == slug)
@@ -52,8 +53,10 @@ class Service:
             raise KeyError(slug)
         pool = similar.neighbourhood_size(rows.count())
         plane = similar.standardized(rows.select(F.col("rank").alias("id"), "papers", "citations"))
-        near = similar.nearest(plane, found["rank"], max(0, pool - 1)).select("id").unionByName(rows.filter(F.col("rank") == found["rank"]).select(F.col("rank").alias("id")))
-        drawn = ranking.sample(near, min(similars, pool), seed).filter(F.col("id") != found["rank"])
+        drawn = similar.nearest(plane, found["rank"], similars if pool <= similars else pool - 1).select("id")
+        if pool > similars:
+            own = rows.filter(F.col("rank") == found["rank"]).select(F.col("rank").alias("id"))
+            drawn = ranking.sample(drawn.unionByName(own), similars, seed).filter(F.col("id") != found["rank"])
         out = {"entity": entity, "similar": rows.join(drawn.withColumnRenamed("id", "rank"), "rank").select("id", "name", "slug", "papers", "citations", "rank").orderBy("rank")}
         if kind in self.relations:
             out["relations"] = self.relations[kind].filter(F.col("entity") == found["id"]).orderBy("rank")

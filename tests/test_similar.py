@@ -26,8 +26,7 @@ def planes():
     yield "few", rng.random(7), rng.random(7)
 
 
-@pytest.mark.parametrize("name,x,y", list(planes()), ids=[p[0] for p in planes()])
-@pytest.mark.parametrize("n", [1, 70])
+@pytest.mark.parametrize("name,x,y,n", [(*p, 1 if p[0] == "even" else 70) for p in planes()], ids=[p[0] for p in planes()])
 def test_pools_equal_all_pairs(spark, name, x, y, n):
     x, y = np.asarray(x, float), np.asarray(y, float)
     ids = np.random.default_rng(1).permutation(len(x)).astype(np.int64)
