@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import filters, labels, links, prune, ranking, rollup, search, similar, slugs, stats
-from .plans import entities, trees
+from .plans import api, entities, trees
 from .scratch import new_folder, written
 from .sources import records
 
@@ -241,8 +241,8 @@ _ROOTS = {
 }
 
 
-def tree_sql(root: str, tid: int, year: int = 1998, whole: bool = False) -> str:
-    """Of one entity, or of all with their ids as ``root``."""
+def _tree_base(root: str, tid: int, year: int, whole: bool = False) -> tuple[list[str], str]:
+    """Level names and the relation base(k1..kn, ref, cit) of one entity, or of all with their ids as ``root``."""
     levels, joins, condition = _TREE_SQL[root, tid]
     keys = [f"k{i + 1}" for i in range(levels.count(",") + 1)]
     select = ", ".join(f"{e.strip()} as {k}" for e, k in zip(levels.split(","), keys))
@@ -251,10 +251,19 @@ def tree_sql(root: str, tid: int, year: int = 1998, whole: bool = False) -> str:
     if whole:
         works, select, condition = f"({_ROOTS[root]})", f"m.root, {select}", re.sub(r"<> \d+", "<> m.root", condition)
     base = f"{_GRAPH_SQL}, base as (select distinct {select}, ref, cit from {works} m join links on links.ref = m.work join r_source yr on yr.work = ref {joined} where yr.year >= {year} {'and ' + condition if condition else ''})"
-    sql = rollup_sql(keys, base, extra="root" if whole else "")
+    return keys, base
+
+
+def _own_links(sql: str) -> str:
+    """The graph has a relation "links" too."""
     return sql.replace("  links as (select distinct k1", "  dlinks as (select distinct k1").replace("from links group by", "from dlinks group by")
 
 
+def tree_sql(root: str, tid: int, year: int = 1998, whole: bool = False) -> str:
+    keys, base = _tree_base(root, tid, year, whole)
+    return _own_links(rollup_sql(keys, base, extra="root" if whole else ""))
+
+
 #: trees that are made for all entities at once too: shared counts of works, the root left out, members of a country first, the root's own topics
 _FORESTS = [("authors", 4), ("institutions", 6), ("countries", 2), ("subfields", 0)]
 
@@ -523,6 +532,25 @@ def top3_by_count(t):
     return stats.top_related(customer_suppliers(t), 3).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("""with p as (select cast(c_nationkey as bigint) as entity, cast(s_nationkey as bigint) as related, count(*) as score from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey group by all),
+  k as (select *, row_number() over (partition by entity order by score desc, related) as rank from p where related <> entity) select * from k where rank <= 3""")
+def top3_other_nations(t):
+    """Of its own kind the entity itself is left out."""
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    counts = rows.groupBy(F.col("c_nationkey").cast("long").alias("entity"), F.col("s_nationkey").cast("long").alias("related")).agg(F.count("*").alias("score"))
+    return stats.top_related(counts, 3, same_kind=True)
+
+
+@query("""with cites as (select l_partkey as work, count(*) as c from lineitem group by 1), j as (select distinct coalesce(nullif(p_size % 5, 4), 0) as q, p_partkey as work from part)
+  select cast(q as bigint) as q, cast(sum(c) as bigint) as citations from j join cites using (work) group by q""")
+def quartile_citations_parts(t):
+    """Parts as works of sources by size, a source's quartile by its number; sources of no quartile count as 0."""
+    works = t.part.select(F.col("p_partkey").alias("work"), F.col("p_size").cast("long").alias("source"), F.lit(2000).alias("year"))
+    known = works.select("source", "year", (F.col("source") % 5).alias("q")).distinct().filter("q <> 4")
+    cited = stats.citing_counts(t.lineitem.select(F.col("l_partkey").alias("work")))
+    return stats.quartile_citations(works.select("work", "source"), cited, works.select("work", "year"), known)
+
+
 @query(f"with {_PAIR_N}, v as (select s_suppkey as related, cast(floor(s_acctbal) as bigint) as value from supplier), k as (select p.*, v.value, row_number() over (partition by entity order by value desc, score desc, p.related) as rank from p join v on v.related = p.related) select entity, related, score, value, rank from k where rank <= 3")
 def top3_by_value(t):
     values = t.supplier.select(F.col("s_suppkey").alias("related"), F.floor("s_acctbal").cast("long").alias("value"))
@@ -571,6 +599,11 @@ _CUST = "cu as (select o_custkey as id, count(distinct o_orderkey) as papers, co
 _Z = f"{_CUST}, f as (select id, ln(greatest(citations, 1)) as a, citations / cast(greatest(papers, 3) as double) as b from c), z as (select id, (a - avg(a) over ()) / stddev_pop(a) over () as f1, (b - avg(b) over ()) / stddev_pop(b) over () as f2 from f)"
 
 
+@query(f"with {_CUST} select id, papers, citations from c where id in (1, 2, 3) or citations > 60")
+def highlighted(t):
+    return filters.highlighted(customers(t), (1, 2, 3), 60).select("id", "papers", "citations")
+
+
 @query(f"with {_Z} select id, round(f1, 7) as f1, round(f2, 7) as f2 from z")
 def features_zscore(t):
     return similar.standardized(customers(t)).select("id", F.round("f1", 7).alias("f1"), F.round("f2", 7).alias("f2"))
@@ -824,6 +857,15 @@ def slug_suffixes(t):
     return slugs.assign_slugs(t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("works"), candidates.alias("candidates")))
 
 
+@query(f"""with p as (select p_partkey as id, p_name, [p_type, p_brand, string_split(p_name, ' ')[1]] as short from part),
+  c as (select id, row_number() over (partition by id order by strlen(short[i]), i) - 1 as place, short[i] as name from p, range(1, 4) r(i) union all select id, 3, p_name from p)
+  select id, cast(place as int) as place, {_SLUG.format("name")} as slug from c""")
+def slug_candidates(t):
+    """Alternate titles and abbreviation, shortest first, then the name."""
+    found = slugs.source_candidates(F.col("p_name"), F.array("p_type", "p_brand"), F.split("p_name", " ")[0])
+    return t.part.select(F.col("p_partkey").alias("id"), F.posexplode(found).alias("place", "slug"))
+
+
 _NAMED = "n as (select p_partkey as id, p_name as name, p_brand as country, p_type as city from part)"
 
 
@@ -911,6 +953,38 @@ def search_many(t):
     return search.search_many(t.spark, folder, asked.select("query", F.col("query").alias("text")))
 
 
+# --- serving -------------------------------------------------------------------------------------------------------------------
+
+
+def customer_service(t: Tables) -> api.Service:
+    """Customers as authors with names and slugs; brands have names and baselines, other keys of trees have neither."""
+    named = customers(t).join(t.customer.select(F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("segment")), "id")
+    named = named.select("id", F.concat_ws(" ", "segment", "id").alias("name"), F.lit("").alias("extension"), F.concat(F.lit("customer-"), "id").alias("slug"), "papers", "citations")
+    graph = order_graph(t)
+    names = t.part.select(F.col("p_brand").alias("key"), F.concat(F.lit("the "), F.lower("p_brand")).alias("name")).distinct()
+    graph = replace(graph, baselines={"subfield": brand_baseline(t)}, labels={"subfield": names})
+    return api.Service({"authors": ranking.ranked(named)}, graph)
+
+
+@query(f"with {_CUST}, n as (select c.*, row_number() over (order by citations desc, id) - 1 as rank from c) select 'customer-' || n.id as slug, n.papers, n.citations, rank, n.id from n join customer on c_custkey = n.id where rank >= 100 and rank < 400")
+def service_slice(t):
+    return customer_service(t).slice("authors", 100, 400).select("slug", "papers", "citations", "rank", "id")
+
+
+@query(f"with {_CUST}, n as (select c.*, lower(c_mktsegment) as name, row_number() over (order by citations desc, id) - 1 as rank from c join customer on c_custkey = c.id) select 'customer-' || id as slug, rank from n where name like 'buil%' order by rank limit 16")
+def service_names(t):
+    return customer_service(t).names("authors", "Buil-").select("slug", "rank")
+
+
+_SERVED_KEYS, _SERVED_BASE = _tree_base("authors", 4, 1998)
+
+
+@query(_own_links(prune_sql(f"{_BRAND_BASE}, {_SERVED_BASE}", _SERVED_KEYS, [0, 1, 1], {0: "base_b", 1: "base_b"})).replace(" select * from (select * from l0", " select *, case when depth = 0 then null when depth = 2 and k2 is not null then 'the ' || lower(k2) when depth < 3 then 'Unknown' end as label from (select * from l0"))
+def service_tree(t):
+    """A pruned tree of a customer with baselines and names: of brands, all other keys of their kind are unknown, topics have no names."""
+    return customer_service(t).tree("authors", "customer-11", 4, 1998)
+
+
 # --- ingestion ------------------------------------------------------------------------------------------------------------------
 
 
@@ -926,6 +1000,34 @@ def explode_lists(t):
     return child_rows(t.part.select(F.col("p_partkey").alias("id"), C.split_list(F.col("p_name"), " ").alias("words")), "words")
 
 
+@query("select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_mktsegment from customer")
+def csv_round_trip(t):
+    """Written as gzip CSV and read with its columns."""
+    rows, folder = t.customer.select("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_mktsegment"), new_folder(t.spark, "csv")
+    records.write_csv(rows, folder)
+    return records.read_csv(t.spark, folder, "c_custkey long, c_name string, c_nationkey long, c_mktsegment string")
+
+
+@query("select p_partkey as id, p_name as name, string_split(p_name, ' ')[1] as first_word from part")
+def json_round_trip(t):
+    """Results stored as JSON lines."""
+    folder = new_folder(t.spark, "json")
+    records.write_json(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.split("p_name", " ").alias("words")), folder)
+    return t.spark.read.schema("id long, name string, words array<string>").json(folder).select("id", "name", F.get("words", F.lit(0)).alias("first_word"))
+
+
+@query("select o_orderkey as id, left(o_orderpriority, 8) as short, cast(year(o_orderdate) - 1990 as int) as year_offset, o_orderkey as number, o_custkey as segment from orders")
+def parsed_columns(t):
+    """Short keys, years from a start, numbers at the end of addresses and last segments."""
+    address, path = F.concat(F.lit("https://host/W"), F.col("o_orderkey")), F.concat(F.lit("https://host/fields/"), F.col("o_custkey"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), C.short_key(F.col("o_orderpriority")).alias("short"), C.year_offset(F.year("o_orderdate"), 1990).alias("year_offset"), C.url_number(address).alias("number"), C.last_segment(path).alias("segment"))
+
+
+@query("select page_id, substr(url, 17) as suffix from pages")
+def doi_suffixes(t):
+    return t.pages.select("page_id", C.doi_suffix(F.col("url")).alias("suffix"))
+
+
 def nested_orders(t: Tables) -> DataFrame:
     """Orders as records that hold their lines, each with its part and the words of the part's name."""
     part = t.part.select(F.col("p_partkey").alias("l_partkey"), F.struct(F.col("p_brand").alias("brand"), F.split("p_name", " ").alias("words")).alias("part"))
