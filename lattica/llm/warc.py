@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -49,6 +50,11 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     )
 
 
+def _quoted(page_id) -> str:
+    """An id as it can stand in a header line, whatever its characters."""
+    return quote(str(page_id), safe="")
+
+
 def _header(row: dict, record_id: str) -> bytes:
     revisit = row["record_type"] == "revisit"
     lines = [
@@ -62,9 +68,9 @@ def _header(row: dict, record_id: str) -> bytes:
         f"Content-Length: {0 if revisit else row['payload_bytes']}",
     ]
     if row["page_id"] is not None:
-        lines.append(f"X-Page-ID: {row['page_id']}")
+        lines.append(f"X-Page-ID: {_quoted(row['page_id'])}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{row['refers_to']}>", f"X-Refers-To-Page-ID: {row['refers_to']}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{_quoted(row['refers_to'])}>", f"X-Refers-To-Page-ID: {_quoted(row['refers_to'])}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
@@ -97,7 +103,7 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = 256 << 20,
                     temp = f"{base}/.{part}-{number}-{attempt}.tmp"
                     out, count = store.open_output_stream(temp), 0
                 row = {k: meta.column(k)[i].as_py() for k in meta.schema.names}
-                owner = row["page_id"] if row["page_id"] is not None else f"null-{part}-{number}-{count}"
+                owner = _quoted(row["page_id"]) if row["page_id"] is not None else f"null-{part}-{number}-{count}"
                 gz = zlib.compressobj(level, wbits=31)
                 out.write(gz.compress(_header(row, f"urn:page:{owner}")))
                 if row["record_type"] == "response":
@@ -159,7 +165,7 @@ def record_chunks(stream, chunk: int = CHUNK):
     source = _Inflated(stream)
     while (head := source.header()) is not None:
         length, sha, done, number = int(head["Content-Length"]), hashlib.sha1(), 0, 0
-        page, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page-ID")
+        page, refers = (None if v is None else unquote(v) for v in (head.get("X-Page-ID"), head.get("X-Refers-To-Page-ID")))
         while True:
             data = source.take(min(chunk, length - done))
             sha.update(data)
@@ -210,7 +216,8 @@ def read_archives(files: DataFrame, id_type: str = "bigint", chunk: int = CHUNK,
 def archive(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least_bytes: int = 1000, with_data: bool = False) -> DataFrame:
     """Write all pages as WARC records to the shared folder and read the archives back as a chunked record table.
 
-    One record per row; repeated rows give repeated records. Null payloads are empty, null urls blank. An empty table gives no rows.
+    One record per row; repeated rows give repeated records. Null payloads are empty, null urls blank. Ids may be strings of any characters. An empty
+    table gives no rows.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")

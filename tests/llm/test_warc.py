@@ -43,3 +43,12 @@ def test_chunks_of_a_plain_archive():
 def test_no_pages(spark):
     frame, _ = pages(spark)
     assert warc.archive(frame.limit(0)).count() == 0
+
+
+def test_ids_of_any_characters(spark):
+    big = "y" * 1500
+    ids = ["plain", "a b\r\nX-Page-ID: forged", "é: <%41>", "", "zz \r\n"]
+    frame = spark.createDataFrame([(i, "u", big if k > 2 else f"small {k}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    found = warc.archive(frame).filter("last").collect()
+    assert sorted(r.page_id for r in found) == sorted(ids)
+    assert [(r.page_id, r.refers_to) for r in found if r.record_type == "revisit"] == [("", "zz \r\n")]
