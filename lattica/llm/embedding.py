@@ -3,8 +3,9 @@
 Unit vectors at least as similar as the threshold have a squared distance of at most 2 - 2 * threshold. Rotated to
 principal axes and split into blocks, such a pair has some block whose squared distance is within that block's
 budget, its share of the whole in proportion to the block's variance. Each block is joined by range alone: a
-k-d partition of the block's few dimensions gives leaves; a vector is host in its own leaf and visits
-earlier leaves whose box is within reach. The candidates of all blocks are united by counting a pair only in the first
+k-d tree over the block's few dimensions gives leaves; a vector is host in its own leaf and visits
+other leaves within reach, one direction for each pair of leaves. In a leaf a finer k-d tree over its hosts takes hosts and visitors to
+the few cells within reach. The candidates of all blocks are united by counting a pair only in the first
 block that finds it, and verified by the cosine of the original components in double precision.
 """
 
@@ -22,11 +23,65 @@ from .components import connected_components
 
 SLACK = 1e-5  # on squared distances of single-precision coordinates
 PAIRS_AT_ONCE = 8_192
+CELL_ROWS = 256  # hosts in a cell of a leaf's own tree
+PRODUCTS_AT_ONCE = 1 << 18  # distances that stay in a core's cache
 SALTS = 8  # one vector may make up a third of all rows
 
 
+def _depth(n: int, rows: int) -> int:
+    """Levels of halving until at most ``rows`` of n are left."""
+    return max(0, int(n - 1) // rows).bit_length() if n > rows else 0
+
+
+class Halves:
+    """A k-d tree. Inner node k splits along axis[k] at at[k] into nodes 2k + 1 (not above) and 2k + 2 (not below); the rest are leaves."""
+
+    def __init__(self, points: np.ndarray, depth: int):
+        self.inner = (1 << depth) - 1
+        self.axis, self.at = np.zeros(self.inner, np.int64), np.zeros(self.inner, np.float32)
+        held = [np.arange(len(points))]
+        for k in range(self.inner):
+            mine, half = held[k], len(held[k]) // 2
+            order = np.arange(len(mine))
+            if len(mine):
+                self.axis[k] = points[mine].var(axis=0).argmax()
+                values = points[mine, self.axis[k]]
+                order = np.argpartition(values, half)
+                self.at[k] = values[order[half]]
+            held += [mine[order[:half]], mine[order[half:]]]
+            held[k] = None
+        self.held = held[self.inner :]
+
+    def home(self, points: np.ndarray) -> np.ndarray:
+        """The leaf of each point."""
+        node = np.zeros(len(points), np.int64)
+        while node.size and node[0] < self.inner:
+            node = 2 * node + 1 + (points[np.arange(len(points)), self.axis[node]] >= self.at[node])
+        return node - self.inner
+
+    def reach(self, points: np.ndarray, limit: float):
+        """(leaf, rows of the points whose squared distance to the leaf's box is within the limit), leaf by leaf."""
+        columns = np.ascontiguousarray(points.T)
+        open_nodes = [(0, np.arange(len(points)), np.zeros(len(points), np.float32), {})]
+        while open_nodes:
+            node, rows, square, gaps = open_nodes.pop()
+            if not len(rows):
+                continue
+            if node >= self.inner:
+                yield node - self.inner, rows
+                continue
+            axis = self.axis[node]
+            over = columns[axis][rows] - self.at[node]
+            before = gaps.get(axis, np.float32(0))
+            for child, gap in ((2 * node + 1, over), (2 * node + 2, -over)):
+                gap = np.maximum(gap, before)
+                further = square + (gap * gap - before * before)
+                keep = np.flatnonzero(further <= limit)
+                open_nodes.append((child, rows[keep], further[keep], {k: v[keep] for k, v in gaps.items()} | {axis: gap[keep]}))
+
+
 class Blocks:
-    """Rotation, blocks, budgets and leaves; the size depends on the sample and the parameters alone."""
+    """Rotation, blocks, budgets and trees; the size depends on the sample and the parameters alone."""
 
     def __init__(self, sample: np.ndarray, threshold: float, n_blocks: int, depth: int):
         unit = _unit(sample)
@@ -39,39 +94,11 @@ class Blocks:
         rotated = unit @ self.rotation
         spread = np.array([rotated[:, c].var(axis=0).sum() for c in self.cuts]) + 1e-12
         self.budget = (2 - 2 * threshold) * spread / spread.sum()
-        self.low, self.high = zip(*(self._leaves(rotated[:, c], depth) for c in self.cuts))
+        self.trees = [Halves(rotated[:, c].astype(np.float32), depth) for c in self.cuts]
+        for tree in self.trees:
+            tree.held = None
         self.leaves = 1 << depth
 
-    @staticmethod
-    def _leaves(points: np.ndarray, depth: int):
-        """Boxes of a k-d partition: each level halves the points along the dimension of most spread."""
-        d = points.shape[1]
-        boxes = [(points, np.full(d, -np.inf), np.full(d, np.inf))]
-        for _ in range(depth):
-            halves = []
-            for p, low, high in boxes:
-                axis = int(p.var(axis=0).argmax()) if len(p) else 0
-                at = np.float32(np.median(p[:, axis])) if len(p) else np.float32(0)
-                at = min(max(at, low[axis]), high[axis])
-                left_high, right_low = high.copy(), low.copy()
-                left_high[axis] = right_low[axis] = at
-                right = p[:, axis] >= at
-                halves += [(p[~right], low, left_high), (p[right], right_low, high)]
-            boxes = halves
-        return np.array([b[1] for b in boxes], np.float32), np.array([b[2] for b in boxes], np.float32)
-
-    def home_and_reach(self, b: int, points: np.ndarray):
-        """(leaf of each point, points x leaves: is the leaf's box within the budget)."""
-        low, high = self.low[b], self.high[b]
-        outside = np.zeros((len(points), self.leaves), np.float32)
-        inside = np.ones((len(points), self.leaves), bool)
-        for k in range(points.shape[1]):
-            x = points[:, k : k + 1]
-            gap = np.maximum(0, np.maximum(low[None, :, k] - x, x - high[None, :, k]))
-            outside += gap * gap
-            inside &= (x >= low[None, :, k]) & (x < high[None, :, k])
-        return inside.argmax(axis=1), outside <= self.budget[b] + SLACK
-
     def first_block(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Number of the first block within its budget, from unit vectors; the same for a pair wherever it is asked."""
         delta = x - y
@@ -112,38 +139,41 @@ def keyed_vectors(rows: DataFrame, id_col: str, vector_col: str, kind: str) -> D
     return rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, schema)
 
 
+def _visits(guest, host):
+    """Of two different leaves, or parts of one, exactly one visits the other; by parity, so that none is visited by all."""
+    return ((host < guest) ^ ((host + guest) % 2 == 1)) & (host != guest)
+
+
 def _deal(blocks: Blocks, kind: str, parts: np.ndarray | None):
     """Host and visitor rows by tile; with ``parts`` None only (tile, count) of the hosts."""
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                rotated = (_unit(_vectors(part.column("vec"), kind)) @ blocks.rotation).astype(np.float32)
-                uid = part.column("uid").to_numpy()
-                for b, cut in enumerate(blocks.cuts):
-                    home, reach = blocks.home_and_reach(b, rotated[:, cut])
-                    if parts is None:
-                        tile, n = np.unique(home, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(b * blocks.leaves + tile), pa.array(n)], ["tile", "n"])
-                        continue
-                    own = uid % np.maximum(parts[b, home], 1)
-                    rows, tiles, roles = [np.arange(len(uid))], [(b * blocks.leaves + home) << 20 | own], [np.zeros(len(uid), np.int8)]
-                    reach &= np.arange(blocks.leaves)[None, :] < home[:, None]
-                    who, leaf = np.nonzero(reach)
-                    who, leaf = np.concatenate([who, rows[0]]), np.concatenate([leaf, home])
-                    times = parts[b, leaf]
-                    times[len(times) - len(uid) :] = own  # earlier parts of its own leaf
-                    many = np.repeat(np.arange(len(who)), times)
-                    chunk = np.arange(len(many)) - np.repeat(np.cumsum(times) - times, times)
-                    rows.append(who[many])
-                    tiles.append((b * blocks.leaves + leaf[many]) << 20 | chunk)
-                    roles.append(np.ones(len(many), np.int8))
-                    row, tile, role = map(np.concatenate, (rows, tiles, roles))
-                    for k in range(0, len(row), 8192):
-                        s = slice(k, k + 8192)
-                        pick = pa.array(row[s])
-                        yield pa.RecordBatch.from_arrays([pa.array(tile[s]), pa.array(role[s]), part.column("uid").take(pick), part.column("weight").take(pick), part.column("vec").take(pick)], ["tile", "role", "uid", "weight", "vec"])
+        for part in batches:
+            if not part.num_rows:
+                continue
+            rotated = (_unit(_vectors(part.column("vec"), kind)) @ blocks.rotation).astype(np.float32)
+            uid = part.column("uid").to_numpy()
+            for b, (cut, tree) in enumerate(zip(blocks.cuts, blocks.trees)):
+                points = rotated[:, cut]
+                home = tree.home(points)
+                if parts is None:
+                    tile, n = np.unique(home, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(b * blocks.leaves + tile), pa.array(n)], ["tile", "n"])
+                    continue
+                own = uid % np.maximum(parts[b, home], 1)
+                yield from rows_of(part, np.arange(len(uid)), b * blocks.leaves + home, own, 0)
+                for leaf, rows in tree.reach(points, blocks.budget[b] + SLACK):
+                    rows = rows[(home[rows] == leaf) | _visits(home[rows], leaf)]
+                    for chunk in range(parts[b, leaf]):
+                        guests = rows[(home[rows] != leaf) | _visits(own[rows], chunk)]
+                        yield from rows_of(part, guests, np.full(len(guests), b * blocks.leaves + leaf), np.full(len(guests), chunk), 1)
+
+    def rows_of(part, rows, leaf, chunk, role):
+        for k in range(0, len(rows), 8192):
+            s = slice(k, k + 8192)
+            pick = pa.array(rows[s])
+            arrays = [pa.array(leaf[s] << 20 | chunk[s]), pa.array(np.full(len(pick), role, np.int8))]
+            yield pa.RecordBatch.from_arrays(arrays + [part.column(c).take(pick) for c in ("uid", "weight", "vec")], ["tile", "role", "uid", "weight", "vec"])
 
     return run
 
@@ -153,74 +183,102 @@ class _Tile:
         self.b = int(batches[0].column("tile")[0].as_py() >> 20) // blocks.leaves
         self.uid = np.concatenate([b.column("uid").to_numpy() for b in batches])
         self.weight = np.concatenate([b.column("weight").to_numpy() for b in batches])
-        self.vec = np.concatenate([_vectors(b.column("vec"), kind) for b in batches])
-        self.unit = _unit(self.vec)
+        self.unit = _unit(np.concatenate([_vectors(b.column("vec"), kind) for b in batches]))
         self.cut = (self.unit.astype(np.float32) @ blocks.single[:, blocks.cuts[self.b]]).astype(np.float32)
-        self.square = (self.cut * self.cut).sum(axis=1)
+        square = (self.cut * self.cut).sum(axis=1, keepdims=True)
+        self.left = np.hstack([self.cut, square, np.ones_like(square)])
+        self.right = np.hstack([-2 * self.cut, np.ones_like(square), square])  # left @ right.T: squared distances
+
+    def cells(self) -> _Tile:
+        self.tree = Halves(self.cut, _depth(len(self.uid), CELL_ROWS))
+        return self
+
+
+def _within(x: _Tile, y: _Tile, limit: np.float32):
+    """Pairs (row of x, row of y) within the limit in the tile's block; with x the same as y each pair once. x has cells."""
+    for cell, rows in x.tree.reach(y.cut, limit):
+        hosts = x.tree.held[cell]
+        if x is y:
+            rows = rows[rows <= hosts.max(initial=-1)]
+        right, step = x.right[hosts].T, max(1, PRODUCTS_AT_ONCE // max(1, len(hosts)))
+        for at in range(0, len(rows), step):
+            guests = rows[at : at + step]
+            near = np.flatnonzero(y.left[guests] @ right <= limit)
+            i, j = hosts[near % len(hosts)], guests[near // len(hosts)]
+            if x is y:
+                i, j = i[j < i], j[j < i]
+            yield i, j
+
+
+def _blocks_of(pairs, size: int):
+    """The pairs again, at most ``size`` at a time and seldom fewer."""
+    held, n = [], 0
+    for pair in pairs:
+        for at in range(0, len(pair[0]), size):
+            held.append((pair[0][at : at + size], pair[1][at : at + size]))
+            n += len(held[-1][0])
+            if n >= size:
+                i, j = map(np.concatenate, zip(*held))
+                yield i[:size], j[:size]
+                held, n = [(i[size:], j[size:])], n - size
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def _join(blocks: Blocks, kind: str):
-    def links(x: _Tile, y: _Tile, same: bool):
+    def links(x: _Tile, y: _Tile):
         """Rows of link counts for both sides, and a spanning forest of the links found."""
-        count_x, count_y, found = np.zeros(len(x.uid), np.int64), np.zeros(len(y.uid), np.int64), []
-        limit = np.float32(blocks.budget[x.b] + SLACK)
-        step = max(1, 1_000_000 // max(1, len(y.uid)))
-        for at in range(0, len(x.uid), step):
-            near = x.square[at : at + step, None] + y.square[None, :] - 2 * (x.cut[at : at + step] @ y.cut.T) <= limit
-            i, j = np.nonzero(near)
-            i = i + at
-            if same:
-                i, j = i[i < j], j[i < j]
-            for k in range(0, len(i), PAIRS_AT_ONCE):
-                a, c = i[k : k + PAIRS_AT_ONCE], j[k : k + PAIRS_AT_ONCE]
-                cosine = (x.unit[a] * y.unit[c]).sum(axis=1)
-                close = cosine >= blocks.threshold
-                a, c = a[close], c[close]
-                first = blocks.first_block(x.unit[a], y.unit[c]) == x.b
-                a, c = a[first], c[first]
-                np.add.at(count_x, a, y.weight[c])
-                np.add.at(count_y, c, x.weight[a])
-                found.append((a, c + (0 if same else len(x.uid))))
-        if not found:
-            return
-        if same:
+        count_x, count_y = np.zeros(len(x.uid), np.int64), np.zeros(len(y.uid), np.int64)
+        label = np.arange(len(x.uid) + (0 if x is y else len(y.uid)))
+        for i, j in _blocks_of(_within(x, y, np.float32(blocks.budget[x.b] + SLACK)), PAIRS_AT_ONCE):
+            close = (x.unit[i] * y.unit[j]).sum(axis=1) >= blocks.threshold
+            i, j = i[close], j[close]
+            first = blocks.first_block(x.unit[i], y.unit[j]) == x.b
+            i, j = i[first], j[first]
+            np.add.at(count_x, i, y.weight[j])
+            np.add.at(count_y, j, x.weight[i])
+            child = np.flatnonzero(label != np.arange(len(label)))
+            other = j + (0 if x is y else len(x.uid))
+            if len(i):
+                label = forest(len(label), np.concatenate([child, i]), np.concatenate([label[child], other]))
+        if x is y:
             count_x, count_y = count_x + count_y, count_y[:0]
         uid, count = np.concatenate([x.uid, y.uid[: len(count_y)]]), np.concatenate([count_x, count_y])
         some = np.flatnonzero(count)
+        if not len(some):
+            return
         yield pa.RecordBatch.from_arrays([pa.array(uid[some]), pa.nulls(len(some), pa.int64()), pa.array(count[some])], ["a", "b", "n"])
-        label = forest(len(uid), *map(np.concatenate, zip(*found)))
-        child = np.flatnonzero(label != np.arange(len(uid)))
+        child = np.flatnonzero(label != np.arange(len(label)))
         yield pa.RecordBatch.from_arrays([pa.array(uid[child]), pa.array(uid[label[child]]), pa.nulls(len(child), pa.int64())], ["a", "b", "n"])
 
     def close(batches):
-        tile = _Tile(blocks, kind, batches)
-        return tile, links(tile, tile, same=True)
+        tile = _Tile(blocks, kind, batches).cells()
+        return tile, links(tile, tile)
 
     def visit(tile, batch):
-        return links(tile, _Tile(blocks, kind, [batch]), same=False)
+        return links(tile, _Tile(blocks, kind, [batch]))
 
     return lambda batches: stream_tiles(batches, close, visit)
 
 
 def _links(distinct: DataFrame, n: int, kind: str, threshold: float, n_blocks: int, sample_rows: int, leaf_rows: int) -> DataFrame:
-    sample = distinct.select("uid", "vec").orderBy(F.xxhash64("uid"), "uid").limit(sample_rows).collect()
-    depth = 0
-    while n > leaf_rows << depth and len(sample) > 16 << depth:
-        depth += 1
+    depth = min(_depth(n, leaf_rows), _depth(sample_rows, 16))
+    sample = distinct.select("uid", "vec").orderBy(F.xxhash64("uid"), "uid").limit(min(sample_rows, max(4096, 16 << depth))).collect()
     blocks = Blocks(np.stack([np.frombuffer(r["vec"], kind) for r in sample]), threshold, n_blocks, depth)
     sizes = distinct.select("uid", "vec").mapInArrow(_deal(blocks, kind, None), "tile bigint, n bigint").groupBy("tile").agg(F.sum("n")).collect()
     parts = np.zeros(len(blocks.cuts) * blocks.leaves, np.int64)
-    for tile, size in sizes:
-        parts[tile] = -(-size // (2 * leaf_rows))
+    for tile, hosts in sizes:
+        parts[tile] = -(-hosts // (2 * leaf_rows))
     dealt = distinct.mapInArrow(_deal(blocks, kind, parts.reshape(len(blocks.cuts), -1)), "tile bigint, role tinyint, uid bigint, weight bigint, vec binary")
     return dealt.repartition("tile").sortWithinPartitions("tile", "role").mapInArrow(_join(blocks, kind), "a bigint, b bigint, n bigint")
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", n_blocks: int = 8, sample_rows: int = 5000, leaf_rows: int = 4096) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", n_blocks: int = 8, sample_rows: int = 65_536, leaf_values: int = 1 << 21) -> DataFrame:
     """(id, n_links, component, kept): the vectors within the cosine threshold of each, and the smallest id reachable.
 
-    Exact at any size: the sample of at most ``sample_rows`` vectors shapes the rotation and the leaves, not the result. Equal vectors are
-    compared once and counted as often as they occur; leaves with many vectors are cut into parts. Vectors that are
+    Exact at any size: the sample (4,096 vectors, or 16 for each leaf, at most ``sample_rows``) shapes the rotation and the leaves, not the
+    result. A leaf is to hold ``leaf_values`` components; one of over twice as many is cut into parts. Equal vectors are
+    compared once and counted as often as they occur. Vectors that are
     null, empty, zero, or hold null or non-finite components link with nothing. Vectors of different lengths do not link.
     Repeated ids keep their rows. An empty table gives no rows.
     """
@@ -233,7 +291,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     found = None
     for size, n in sizes:
         part = distinct.filter(F.col("size") == size).select("uid", "weight", "vec")
-        links = scratch.put(_links(part, n, kind, threshold, n_blocks, sample_rows, leaf_rows), f"links{size}")
+        links = scratch.put(_links(part, n, kind, threshold, n_blocks, sample_rows, max(1, leaf_values // size)), f"links{size}")
         found = links if found is None else found.unionByName(links)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
