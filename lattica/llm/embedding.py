@@ -190,7 +190,11 @@ class _Tile:
         self.right = np.hstack([-2 * self.cut, np.ones_like(square), square])  # left @ right.T: squared distances
 
     def cells(self) -> _Tile:
+        """Rows in the order of the cells of a tree; cell k holds those from ends[k] to ends[k + 1]."""
         self.tree = Halves(self.cut, _depth(len(self.uid), CELL_ROWS))
+        order, self.ends = np.concatenate(self.tree.held), np.cumsum([0, *map(len, self.tree.held)])
+        for name in ("uid", "weight", "unit", "cut", "left", "right"):
+            setattr(self, name, getattr(self, name)[order])
         return self
 
 
@@ -205,14 +209,15 @@ def _true_places(marks: np.ndarray) -> np.ndarray:
 def _within(x: _Tile, y: _Tile, limit: np.float32):
     """Pairs (row of x, row of y) within the limit in the tile's block; with x the same as y each pair once. x has cells."""
     for cell, rows in x.tree.reach(y.cut, limit):
-        hosts = x.tree.held[cell]
+        start, end = x.ends[cell : cell + 2]
         if x is y:
-            rows = rows[rows <= hosts.max(initial=-1)]
-        right, step = x.right[hosts].T, max(1, PRODUCTS_AT_ONCE // max(1, len(hosts)))
-        for at in range(0, len(rows), step):
+            rows = rows[rows < end]
+        n, right = end - start, x.right[start:end].T
+        step = max(1, PRODUCTS_AT_ONCE // max(1, n))
+        for at in range(0, len(rows) if n else 0, step):
             guests = rows[at : at + step]
             near = _true_places((y.left[guests] @ right).ravel() <= limit)
-            i, j = hosts[near % len(hosts)], guests[near // len(hosts)]
+            i, j = start + near % n, guests[near // n]
             if x is y:
                 i, j = i[j < i], j[j < i]
             yield i, j
