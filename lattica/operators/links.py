@@ -75,8 +75,8 @@ def issn_pairs(sources: DataFrame) -> DataFrame:
 
 
 def issn_join(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts by ISSN, given to the sources that have it; distinct."""
-    return pairs.join(facts, "issn").drop("issn").distinct()
+    """Facts by ISSN, given to the sources that have it; distinct. A fact that is listed many times meets its sources once."""
+    return pairs.join(facts.distinct(), "issn").drop("issn").distinct()
 
 
 def best_source(work_sources: DataFrame, work_years: DataFrame, quartiles: DataFrame) -> DataFrame:
