@@ -36,3 +36,20 @@ def test_work_on_a_group_of_copies_grows_with_its_size(spark, monkeypatch):
     monkeypatch.setattr(similar_texts, "similar_links", counted)
     kept = {r.doc_id for r in similar_texts.keep_one(docs, tile_rows=16).collect()}
     assert kept == {0, *range(400, 430)} and sum(links) < 4 * 430
+
+
+def test_candidates_come_from_simhash(spark, monkeypatch):
+    """All texts within the radius are linked, whatever the parts; those beyond it, or of sizes too far apart, are not."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    words = [[int(w) for w in rng.integers(0, 1 << 63, 4)] for _ in range(30)]
+    rows = [(k, 100 + k, *w) for k, w in enumerate(words)]
+    flip = lambda w, bits: [w[0] ^ ((1 << bits) - 1), w[1] ^ ((1 << bits) - 1), *w[2:]]
+    rows += [(100 + k, 110 + k, *flip(w, 20)) for k, w in enumerate(words)] + [(200 + k, 300, *w) for k, w in enumerate(words)] + [(300, 100, words[0][0] ^ ((1 << 25) - 1 << 30), *words[0][1:])]
+    prints = spark.createDataFrame(rows, "key long, size long, w0 long, w1 long, w2 long, w3 long")
+    for parts in [(1024, 65_536), (3, 3)]:
+        monkeypatch.setattr(similar_texts, "PRINT_ROWS", parts)
+        found = similar_texts.candidate_links(prints, 0.8, 24)
+        assert {frozenset(r) for r in found.collect()} == {frozenset((k, 100 + k)) for k in range(30)}
+        assert similar_texts.candidate_links(prints.limit(0), 0.8, 24).count() == 0
