@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions import columns as C
@@ -18,6 +19,8 @@ from .trees import Graph
 LEVEL_OF = {"authors": "author", "institutions": "inst", "countries": "country", "sources": "source", "subfields": "subfield", "topics": "topic"}
 #: Number of a top list -> kind of entity that it lists and how many at most.
 PRIME_LISTS = (("subfields", 3), ("subfields", 3), ("topics", 3), ("countries", 3), ("sources", 3), ("authors", 5))
+#: Works of an entity whose authors one task ranks.
+ENTITY_WORKS = 10_000
 #: Kinds that have pages, and what an entity needs to have one.
 SHOWN = {
     "authors": {"most_papers": 1000}, "institutions": {}, "countries": {}, "subfields": {},
@@ -59,27 +62,35 @@ def prime_lists(graph: Graph, kind: str, values: DataFrame) -> DataFrame:
     works, r = graph.roots[kind], graph.tables
     citing = graph.citing.select(F.col("ref").alias("work"), F.col("cit").alias("citing"))
     cited = stats.citing_counts(citing)
-
-    def counted(links: DataFrame, col: str) -> DataFrame:
-        return links.groupBy("entity", F.col(col).alias("related")).agg(F.count("*").alias("score"))
-
-    citing_subfields = works.join(citing, "work").join(r["c", "subfield"].withColumnRenamed("work", "citing"), "citing")
-    journals = counted(works.join(r["r", "source"], "work"), "source").join(values.select(F.col("source").alias("related"), "value"), "related", "left")
-    authors = works.join(r["r", "author"], "work").join(cited, "work", "left").select("entity", F.col("author").alias("related"), F.coalesce("citations", F.lit(0)).alias("c"))
-    lists = [
-        counted(works.join(r["r", "subfield"], "work"), "subfield"), counted(citing_subfields, "subfield"), counted(works.join(r["r", "topic"], "work"), "topic"),
-        counted(works.join(r["r", "country"], "work"), "country"), journals, stats.h_and_median(authors.filter("related is not null"), ["entity", "related"]).select("entity", "related", F.col("h").alias("score")),
-    ]
-    every = None
-    for k, rows in enumerate(lists):
-        value = F.coalesce("value", F.lit(0)) if k == 4 else F.lit(0)
-        known = rows.filter("related is not null")
+    counted, columns = None, ["subfield", "subfield", "topic", "country", "source"]
+    for k, col in enumerate(columns):
+        rows = citing.join(r["c", col].withColumnRenamed("work", "citing"), "citing") if k == 1 else r["r", col]
+        rows = rows.join(values, col, "left") if k == 4 else rows.withColumn("value", F.lit(0))
+        rows = rows.filter(F.col(col).isNotNull()).select("work", F.lit(k).alias("rel_type"), F.col(col).cast("string").alias("related"), F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+        counted = rows if counted is None else counted.unionByName(rows)
+    # all attributes of a work meet its entities at once
+    counted = works.join(counted, "work")
+    for k in range(len(columns)):
         if PRIME_LISTS[k][0] == kind:
-            known = known.filter(F.col("related") != F.col("entity"))
-        known = known.select("entity", F.lit(k).alias("rel_type"), F.col("related").cast("string").alias("related"), F.col("score").cast("long").alias("score"), value.cast("long").alias("value"))
-        every = known if every is None else every.unionByName(known)
-    order = [F.desc("value"), F.desc("score"), F.expr("try_cast(related as bigint)"), F.col("related")]
-    best = stats.top_n(every, ["entity", "rel_type"], order, max(n for _, n in PRIME_LISTS))
+            counted = counted.filter((F.col("rel_type") != k) | (F.col("related") != F.col("entity").cast("string")))
+    counted = counted.groupBy("entity", "rel_type", "related").agg(F.count("*").alias("score"), F.max("value").alias("value"))
+
+    pairs = works.join(r["r", "author"].filter("author is not null").withColumnRenamed("author", "related"), "work")
+    if PRIME_LISTS[5][0] == kind:
+        pairs = pairs.filter(F.col("related") != F.col("entity"))
+    pairs = pairs.join(cited, "work", "left").select("entity", "related", F.coalesce("citations", F.lit(0)).alias("c"))
+    # an entity's authors lie in one task, or for each 10,000 of its works
+    large = works.groupBy("entity").agg(F.ceil(F.count("*") / ENTITY_WORKS).alias("blocks")).filter("blocks > 1")
+    block = F.pmod(F.xxhash64("related"), F.coalesce("blocks", F.lit(1))).alias("block")
+    pairs = pairs.join(F.broadcast(large), "entity", "left").select("entity", block, "related", "c")
+    by_number = [F.expr("try_cast(related as bigint)"), F.col("related")]  # of ids as strings
+    number = [F.col("related")] if isinstance(pairs.schema["related"].dataType, T.IntegralType) else by_number
+    authors = stats.h_of_groups(pairs, ["entity", "block", "related"], dealt=(graph.size().parts, "entity", "block"))
+    authors = stats.top_n(authors, ["entity", "block"], [F.desc("h"), *number], PRIME_LISTS[5][1]).drop("rank")
+    authors = authors.select("entity", F.lit(5).alias("rel_type"), F.col("related").cast("string").alias("related"), F.col("h").alias("score"), F.lit(0).cast("long").alias("value"))
+
+    every = counted.unionByName(authors)
+    best = stats.top_n(every, ["entity", "rel_type"], [F.desc("value"), F.desc("score"), *by_number], max(n for _, n in PRIME_LISTS))
     most = F.element_at(F.array(*[F.lit(n) for _, n in PRIME_LISTS]), F.col("rel_type") + 1)
     return best.filter(F.col("rank") <= most).select("entity", "rel_type", "related", "score", "rank")
 

@@ -1,8 +1,10 @@
 """Works with very many attributes, entities with very many authors."""
 
+import random
 import time
 
-from lattica.plans import trees
+from lattica.operators import stats
+from lattica.plans import entities, trees
 
 
 def test_citing_work_of_many_institutions(spark):
@@ -19,3 +21,24 @@ def test_citing_work_of_many_institutions(spark):
     assert nodes[2, "x", 0, None, None] == nodes[3, "x", 0, None, None] == nodes[4, "x", 0, None, 9] == (3, 2, 2, 2)
     assert nodes[2, "x", None, None, None] == nodes[4, "x", 0, 4, 9] == (2, 2, 1, 1)
     assert len(nodes) == 1 + 1 + 4 + 2 + 2
+
+
+def test_h_of_groups(spark):
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 2, 7, 8, 9, 40]) for _ in range(300)]
+    rows = [(g, rng.choice([0, 1, 6, 7, 8, 9, 30, rng.randrange(50)])) for g, size in enumerate(sizes) for _ in range(size)]
+    counts = spark.createDataFrame(rows, "g long, c long")
+    want = sorted(map(tuple, stats.h_and_median(counts, ["g"]).select("g", "h").collect()))
+    assert {h for _, h in want} > {1, 7, 8, 9}
+    for low in (1, 2, 8, 60):
+        assert sorted(map(tuple, stats.h_of_groups(counts, ["g"], low).collect())) == want
+
+
+def test_authors_in_blocks_of_an_entity(spark, monkeypatch):
+    """The best of the blocks are those of the whole."""
+    from lattica import queries
+
+    tables = queries.Tables(spark, "/root/testdata/sf0.001")
+    once = sorted(map(tuple, queries.prime_lists(tables).collect()))
+    monkeypatch.setattr(entities, "ENTITY_WORKS", 7)
+    assert sorted(map(tuple, queries.prime_lists(tables).collect())) == once
