@@ -60,18 +60,21 @@ def h_and_median(counts: DataFrame, by: list[str], standard: bool = False) -> Da
     )
 
 
-def h_of_groups(counts: DataFrame, by: list[str], low: int = 8, dealt: tuple = ()) -> DataFrame:
-    """(by..., h) as of ``h_and_median``, for very many groups that are mostly small; ``c`` is not null.
+def h_of_groups(counts: DataFrame, by: list[str], low: int = 8) -> DataFrame:
+    """(by..., h) as of ``h_and_median``, for very many groups that are mostly small; ``c`` is not null."""
+    return h_by_sums(counts.select(*by, "c", F.lit(0).cast("long").alias("beyond")).unionByName(h_beyond(counts, by, low)), by, low)
 
-    h is the first k that no more than k rows reach, so below ``low`` it is told by sums, which need no sort. A group beyond has its h from
-    its rows of ``low`` or more alone, which then decide it. ``dealt``: how rows are repartitioned before they are grouped.
-    """
-    beyond = h_and_median(counts.filter(F.col("c") >= low), by).select(*by, F.lit(None).cast("long").alias("c"), F.col("h").alias("__beyond"))
-    rows = counts.select(*by, F.col("c").cast("long").alias("c"), F.lit(0).cast("long").alias("__beyond")).unionByName(beyond)
-    rows = rows.repartition(*dealt) if dealt else rows
+
+def h_beyond(counts: DataFrame, by: list[str], low: int) -> DataFrame:
+    """(by..., c, beyond): of groups with an h of over ``low`` that h, which their rows of ``low`` or more alone decide; c is null."""
+    return h_and_median(counts.filter(F.col("c") >= low), by).filter(F.col("h") > low).select(*by, F.lit(None).cast("long").alias("c"), F.col("h").alias("beyond"))
+
+
+def h_by_sums(rows: DataFrame, by: list[str], low: int) -> DataFrame:
+    """(by..., h) from rows (by..., c, beyond) with those of ``h_beyond``: h is the first k that no more than k rows reach, so up to ``low`` it is told by sums, which need no sort."""
     reach = [F.count("c").alias("__0"), *[F.count(F.when(F.col("c") >= k, 1)).alias(f"__{k}") for k in range(1, low)]]
-    h = F.coalesce(*[F.when(F.col(f"__{k}") <= k, F.lit(k)) for k in range(low)], F.greatest("__beyond", F.lit(low)))
-    return rows.groupBy(*by).agg(*reach, F.max("__beyond").alias("__beyond")).select(*by, h.cast("long").alias("h"))
+    h = F.coalesce(*[F.when(F.col(f"__{k}") <= k, F.lit(k)) for k in range(low)], F.greatest("beyond", F.lit(low)))
+    return rows.groupBy(*by).agg(*reach, F.max("beyond").alias("beyond")).select(*by, h.cast("long").alias("h"))
 
 
 def source_stats(work_sources: DataFrame, citations: DataFrame, work_years: DataFrame, quartiles: DataFrame) -> DataFrame:

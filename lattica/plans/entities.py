@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions import columns as C
-from ..operators import filters, links, prune, ranking, slugs, stats
+from ..operators import filters, links, lists, prune, ranking, slugs, stats
 from ..scratch import written
 from . import build
 from .trees import Graph
@@ -21,6 +22,8 @@ LEVEL_OF = {"authors": "author", "institutions": "inst", "countries": "country",
 PRIME_LISTS = (("subfields", 3), ("subfields", 3), ("topics", 3), ("countries", 3), ("sources", 3), ("authors", 5))
 #: Works of an entity whose authors one task ranks.
 ENTITY_WORKS = 10_000
+#: h-indices up to this are told by sums.
+LOW_H = 12
 #: Kinds that have pages, and what an entity needs to have one.
 SHOWN = {
     "authors": {"most_papers": 1000}, "institutions": {}, "countries": {}, "subfields": {},
@@ -53,46 +56,84 @@ def source_values(graph: Graph, t: dict[str, DataFrame]) -> DataFrame:
 
 
 def prime_lists(graph: Graph, kind: str, values: DataFrame) -> DataFrame:
-    """(entity, rel_type, related, score, rank): the six top lists of every entity of a kind, by one window over all of them.
+    """(entity, rel_type, related, score, rank): the six top lists of every entity of a kind.
 
     0 subfields of its works, 1 subfields that cite them, 2 topics, 3 countries, by number; 4 sources by their value (``values``: source, value),
     the number as score; 5 authors by the h-index of their works within the entity. Ties go to the lower id. The unknown, and of its
     own kind the entity itself, are left out. Ids are strings here, as some kinds have codes.
+
+    A work is dealt to each of its entities as one row with arrays of what it has, and counted there.
+    """
+    large = graph.roots[kind].groupBy("entity").agg(F.ceil(F.count("*") / ENTITY_WORKS).alias("blocks")).filter("blocks > 1")
+    homes = graph.roots[kind].groupBy("work").agg(F.collect_list("entity").alias("entities"))
+    return _most_related(graph, kind, values, homes, large).unionByName(_best_authors(graph, kind, homes, large))
+
+
+def _by_number() -> list[Column]:
+    """The order of ids as strings."""
+    return [F.expr("try_cast(related as bigint)"), F.col("related")]
+
+
+def _most_related(graph: Graph, kind: str, values: DataFrame, homes: DataFrame, large: DataFrame) -> DataFrame:
+    """``prime_lists`` but for the authors. Subfields, topics, countries and sources are numbered, and a work's numbers are counted once for all its entities.
+
+    Of an entity of few works all rows lie in one task; of ``large`` ones counts are added up before they are shuffled.
     """
-    works, r = graph.roots[kind], graph.tables
-    citing = graph.citing.select(F.col("ref").alias("work"), F.col("cit").alias("citing"))
-    cited = stats.citing_counts(citing)
-    counted, columns = None, ["subfield", "subfield", "topic", "country", "source"]
-    for k, col in enumerate(columns):
-        rows = citing.join(r["c", col].withColumnRenamed("work", "citing"), "citing") if k == 1 else r["r", col]
-        rows = rows.join(values, col, "left") if k == 4 else rows.withColumn("value", F.lit(0))
-        rows = rows.filter(F.col(col).isNotNull()).select("work", F.lit(k).alias("rel_type"), F.col(col).cast("string").alias("related"), F.coalesce("value", F.lit(0)).cast("long").alias("value"))
-        counted = rows if counted is None else counted.unionByName(rows)
-    # all attributes of a work meet its entities at once
-    counted = works.join(counted, "work")
-    for k in range(len(columns)):
-        if PRIME_LISTS[k][0] == kind:
-            counted = counted.filter((F.col("rel_type") != k) | (F.col("related") != F.col("entity").cast("string")))
-    counted = counted.groupBy("entity", "rel_type", "related").agg(F.count("*").alias("score"), F.max("value").alias("value"))
-
-    pairs = works.join(r["r", "author"].filter("author is not null").withColumnRenamed("author", "related"), "work")
-    if PRIME_LISTS[5][0] == kind:
-        pairs = pairs.filter(F.col("related") != F.col("entity"))
-    pairs = pairs.join(cited, "work", "left").select("entity", "related", F.coalesce("citations", F.lit(0)).alias("c"))
-    # an entity's authors lie in one task, or for each 10,000 of its works
-    large = works.groupBy("entity").agg(F.ceil(F.count("*") / ENTITY_WORKS).alias("blocks")).filter("blocks > 1")
-    block = F.pmod(F.xxhash64("related"), F.coalesce("blocks", F.lit(1))).alias("block")
-    pairs = pairs.join(F.broadcast(large), "entity", "left").select("entity", block, "related", "c")
-    by_number = [F.expr("try_cast(related as bigint)"), F.col("related")]  # of ids as strings
-    number = [F.col("related")] if isinstance(pairs.schema["related"].dataType, T.IntegralType) else by_number
-    authors = stats.h_of_groups(pairs, ["entity", "block", "related"], dealt=(graph.size().parts, "entity", "block"))
-    authors = stats.top_n(authors, ["entity", "block"], [F.desc("h"), *number], PRIME_LISTS[5][1]).drop("rank")
-    authors = authors.select("entity", F.lit(5).alias("rel_type"), F.col("related").cast("string").alias("related"), F.col("h").alias("score"), F.lit(0).cast("long").alias("value"))
-
-    every = counted.unionByName(authors)
-    best = stats.top_n(every, ["entity", "rel_type"], [F.desc("value"), F.desc("score"), *by_number], max(n for _, n in PRIME_LISTS))
+    r, parts = graph.tables, graph.size().parts
+    tables = [(k, r["c" if k == 1 else "r", col].select("work", F.col(col).alias("related")).filter("related is not null")) for k, col in enumerate(("subfield", "subfield", "topic", "country", "source"))]
+    known = reduce(DataFrame.unionByName, [rows.select(F.lit(k).alias("rel_type"), F.col("related").cast("string").alias("related")).distinct() for k, rows in tables])
+    # of equal ones the lower number comes first
+    known = written(ranking.numbered(known, [F.col("rel_type"), *_by_number()], "id"), "related")
+    number = F.col("id").cast(lists.narrowest(known.count()))
+    own = None
+    for k, rows in tables:
+        ids = known.filter(F.col("rel_type") == k).select("id", F.col("related").alias("__related"))
+        rows = rows.join(ids, F.col("related").cast("string") == F.col("__related")).select(F.col("work").alias("ref"), number.alias("own"))
+        rows = graph.citing.join(rows.withColumnRenamed("ref", "cit"), "cit").select("ref", "own") if k == 1 else rows
+        own = rows if own is None else own.unionByName(rows)
+    counts = lists.count_lists(own, parts).withColumnRenamed("ref", "work").join(homes, "work")
+    counts = counts.select(F.explode("entities").alias("entity"), "of", "near", "far", "small", "large")
+    worth = values.select(F.lit(4).alias("rel_type"), F.col("source").cast("string").alias("related"), F.col("value").cast("long").alias("value"))
+    known = known.join(worth, ["rel_type", "related"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
     most = F.element_at(F.array(*[F.lit(n) for _, n in PRIME_LISTS]), F.col("rel_type") + 1)
-    return best.filter(F.col("rank") <= most).select("entity", "rel_type", "related", "score", "rank")
+    ranks, told = known.select("id", "rel_type", "value"), known.select("id", "related")
+    same = known.filter(F.col("rel_type").isin([k for k, _ in tables if PRIME_LISTS[k][0] == kind])).select("id", F.col("related").alias("itself"))
+
+    def top(rows: DataFrame) -> DataFrame:
+        rows = lists.each_count(rows)
+        rows = rows.groupBy("entity", F.col("__p").alias("id")).agg(F.sum("n").alias("score"))
+        if kind in [of for of, _ in PRIME_LISTS[: len(tables)]]:
+            rows = rows.join(same, "id", "left").filter(~F.col("itself").eqNullSafe(F.col("entity").cast("string"))).drop("itself")
+        rows = stats.top_n(rows.join(ranks, "id"), ["entity", "rel_type"], [F.desc("value"), F.desc("score"), F.col("id")], max(n for _, n in PRIME_LISTS))
+        return rows.filter(F.col("rank") <= most).join(told, "id").select("entity", "rel_type", "related", "score", "rank")
+
+    large = F.broadcast(large.select("entity"))
+    return top(counts.join(large, "entity", "left_anti").repartition(parts, "entity")).unionByName(top(counts.join(large, "entity", "left_semi")))
+
+
+def _best_authors(graph: Graph, kind: str, homes: DataFrame, large: DataFrame) -> DataFrame:
+    """The authors of ``prime_lists``. An entity's authors lie in one task, or for each 10,000 of its works."""
+    cited = stats.citing_counts(graph.citing.select(F.col("ref").alias("work")))
+    people = graph.tables["r", "author"].filter("author is not null").groupBy("work").agg(F.collect_list("author").alias("related"))
+    people = people.join(cited, "work", "left").select("work", F.coalesce("citations", F.lit(0)).alias("c"), "related")
+    rows = people.join(homes, "work").select(F.explode("entities").alias("entity"), "c", "related").join(F.broadcast(large), "entity", "left")
+    block = lambda x: F.pmod(F.xxhash64(x), F.col("blocks"))
+    rows = rows.select("entity", "c", "related", "blocks", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.transform("related", block)))).alias("block"))
+    within = F.when(F.col("blocks").isNull(), F.col("related")).otherwise(F.filter("related", lambda x: block(x) == F.col("block")))
+    rows = rows.select("entity", "block", "c", within.alias("related"), F.lit(0).cast("long").alias("beyond"))
+
+    def each(packed: DataFrame) -> DataFrame:
+        pairs = packed.select("entity", "block", "c", "beyond", F.explode("related").alias("related"))
+        return pairs.filter(F.col("related") != F.col("entity")) if PRIME_LISTS[5][0] == kind else pairs
+
+    by = ["entity", "block", "related"]
+    beyond = stats.h_beyond(each(rows), by, LOW_H).withColumn("related", F.array("related"))
+    dealt = lists.slim(rows.unionByName(beyond), "related").repartition(graph.size().parts, "entity", "block")
+    authors = stats.h_by_sums(each(dealt.withColumn("related", lists.unslim(dealt))), by, LOW_H)
+    number = [F.col("related")] if isinstance(authors.schema["related"].dataType, T.IntegralType) else _by_number()
+    n = PRIME_LISTS[5][1]
+    authors = stats.top_n(authors, ["entity", "block"], [F.desc("h"), *number], n).drop("rank")
+    return stats.top_n(authors, ["entity"], [F.desc("h"), *number], n).select("entity", F.lit(5).alias("rel_type"), F.col("related").cast("string").alias("related"), F.col("h").alias("score"), "rank")
 
 
 def with_labels(graph: Graph, statistics: dict[str, DataFrame], names: dict[str, DataFrame], works: DataFrame) -> Graph:
